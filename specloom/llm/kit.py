@@ -44,6 +44,17 @@ def crc_bucket(id_column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def labelled_sample(labels: DataFrame, column: str, modulus: int, held_out: int, rows: int) -> DataFrame:
+    """doc_id and label of about rows labelled ids outside the held-out bucket, chosen by hash; small enough to broadcast."""
+    known = labels.filter(F.col(column).isNotNull() & (crc_bucket("doc_id", modulus) != held_out)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("double").alias("label"))
+    share = min(1.0, rows / max(1, known.count()))
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def held_out(modulus: int, bucket: int) -> Column:
+    return F.coalesce(crc_bucket("doc_id", modulus) == bucket, F.lit(False))
+
+
 def _byte_table(is_word) -> np.ndarray:
     out = np.zeros(256, np.uint64)
     for b in range(256):
