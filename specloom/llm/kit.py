@@ -35,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """documents but those whose doc_id is in ids; the ids are sent to all tasks only if they are few."""
+    ids = cut(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
+    return documents.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, "doc_id", "left_anti").select(*documents.columns)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, however often body names it."""
     return F.get(F.transform(F.array(value), body), 0)

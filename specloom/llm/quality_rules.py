@@ -54,23 +54,23 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), count))
 
 
-def measure(documents: DataFrame) -> DataFrame:
-    """doc_id and the measurements that rules read, all long; null and empty texts measure 0.
+def measure(documents: DataFrame, keep=("doc_id",)) -> DataFrame:
+    """The columns in keep and the measurements that rules read, all long; null and empty texts measure 0.
 
     Windows are compared by 64-bit hashes of their words within one text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     of_words = let(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r")))
     of_lines = let(F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)), lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("d")))
-    taken = documents.select("doc_id", F.explode(F.array(F.struct(of_words.alias("w"), of_lines.alias("l"), F.length(F.regexp_replace(text, GAP, "")).alias("c"), F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).alias("s")))).alias("m"))
+    taken = documents.select(*keep, F.explode(F.array(F.struct(of_words.alias("w"), of_lines.alias("l"), F.length(F.regexp_replace(text, GAP, "")).alias("c"), F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).alias("s")))).alias("m"))
     named = {"n_words": "m.w.n", "word_chars": "m.c", "n_symbols": "m.s", "n_lines": "m.l.n", "n_dup_lines": "m.l.d", "n_repeat_words": "m.w.r"}
-    return taken.select("doc_id", *(F.col(c).cast("long").alias(name) for name, c in named.items()))
+    return taken.select(*keep, *(F.col(c).cast("long").alias(name) for name, c in named.items()))
 
 
-def ledger(documents: DataFrame) -> DataFrame:
-    """A row for each row of documents(doc_id, text, ...): measurements and fail_bits. Other columns are ignored; repeated rows give repeated rows."""
+def ledger(documents: DataFrame, keep=("doc_id",)) -> DataFrame:
+    """A row for each row of documents(doc_id, text, ...): keep, measurements and fail_bits. Other columns are ignored; repeated rows give repeated rows."""
     bits = [F.when(F.expr(failing), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, failing) in enumerate(RULES)]
-    return measure(documents).withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    return measure(documents, keep).withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
 
 
 def passes(version: int) -> Column:
