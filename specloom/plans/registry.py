@@ -1,6 +1,316 @@
-"""Registered queries and their SQL, by name."""
+"""Queries over the given tables, each with the SQL that states its result independently.
+
+The tables hold no specifications, so some queries render specification text from them and run the operators on it; the
+SQL then computes what must come out straight from the columns.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from specloom.functions import classify, numbers, text
+from specloom.operators import catalog, extract, material, products
+from specloom.sources.tables import table
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: First word of p_type, and the category that a material of that type is filed under.
+FAMILIES = {"ECONOMY": "Pipe, steel", "SMALL": "fitting", "MEDIUM": " Valve", "LARGE": "Sprinkler head", "STANDARD": "monitoring", "PROMO": "accessory"}
+_FAMILY_SQL = "CASE split_part(p_type, ' ', 1) WHEN 'ECONOMY' THEN 'Pipe' WHEN 'SMALL' THEN 'Fitting' WHEN 'MEDIUM' THEN 'Valve' WHEN 'LARGE' THEN 'Sprinkler' WHEN 'STANDARD' THEN 'Equipment' WHEN 'PROMO' THEN 'Accessory' ELSE 'Unknown' END"
+
+
+def _materials(spark, d) -> DataFrame:
+    """Line items as material lines: filed by part type, matched where the discount is at least 0.03."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.split("p_type", " ")[0].alias("family"))
+    filed = F.coalesce(*(F.when(F.col("family") == k, v) for k, v in FAMILIES.items()), F.lit("misc"))
+    joined = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_quantity").join(part, "l_partkey")
+    matched = F.when(F.col("l_discount") >= 0.03, F.concat(F.lit("db-"), "l_partkey"))
+    return joined.select("l_orderkey", "l_linenumber", filed.alias("category"), matched.alias("product_id"), F.when(F.col("l_discount") >= 0.08, "").otherwise(None).alias("matched_product"), F.col("l_quantity").cast("int").alias("confidence"))
+
+
+@query(f"""SELECT category, count(*) AS material_items, count(*) FILTER (l_discount >= 0.03) AS matched, count(*) FILTER (l_discount < 0.03) AS missing
+  FROM (SELECT l_discount, {_FAMILY_SQL} AS category FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY category""")
+def a_category_breakdown(spark, d):
+    return material.category_breakdown(_materials(spark, d)).select("category", "material_items", "matched", "missing").orderBy("category")
+
+
+@query("SELECT round(avg(trunc(l_quantity)))::BIGINT AS average_confidence FROM lineitem")
+def a_average_confidence(spark, d):
+    return material.average_confidence(table(spark, d, "lineitem").select(F.col("l_quantity").cast("int").alias("confidence")))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (l_discount >= 0.03) AS matched, count(*) FILTER (l_discount < 0.03) AS missing, true AS balanced FROM lineitem JOIN part ON l_partkey = p_partkey")
+def a_balance(spark, d):
+    return material.balance(_materials(spark, d))
+
+
+@query(f"SELECT {_FAMILY_SQL} AS category, min(l_orderkey * 10 + l_linenumber) AS first_seen FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def a_detected_categories(spark, d):
+    return material.detected_categories(_materials(spark, d).withColumn("ord", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "ord")
+
+
+@query(f"""SELECT {_FAMILY_SQL} AS category, count(*) AS n_items, min(p_partkey) AS first_item FROM part GROUP BY 1""")
+def a_group_by_category(spark, d):
+    filed = F.coalesce(*(F.when(F.split("p_type", " ")[0] == k, v) for k, v in FAMILIES.items()), F.lit("misc"))
+    grouped = material.group_by_category(table(spark, d, "part").withColumn("category", filed), "p_partkey")
+    return grouped.select("category", F.size("items").cast("long").alias("n_items"), F.get("items", F.lit(0))["p_partkey"].alias("first_item"))
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_discount = 0 THEN 'no discount' WHEN l_tax > 0.07 THEN 'tax too high' END AS err FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, err IS NULL ORDER BY l_linenumber, err) AS n FROM e),
+  f AS (SELECT l_orderkey, string_agg(err, '; ' ORDER BY l_linenumber, err) AS error_message FROM r WHERE err IS NOT NULL AND n <= 5 GROUP BY 1)
+  SELECT e.l_orderkey, count(*) AS total, count(*) FILTER (err IS NULL) AS queued, count(*) FILTER (err IS NOT NULL) AS failed, any_value(error_message) AS error_message,
+  CASE WHEN count(*) FILTER (err IS NULL) = 0 THEN 'failed' ELSE 'completed' END AS status FROM e LEFT JOIN f USING (l_orderkey) GROUP BY e.l_orderkey""")
+def a_import_summary(spark, d):
+    error = F.when(F.col("l_discount") == 0, "no discount").when(F.col("l_tax") > 0.07, "tax too high")
+    return catalog.import_summary(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"), error, ["l_linenumber"], ("l_orderkey",))
+
+
+@query("SELECT * FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'steel')")
+def f_search(spark, d):
+    return material.search(table(spark, d, "part"), "  STEEL ", ["p_name", "p_brand", "p_type"])
+
+
+@query("""SELECT o_orderkey, o_totalprice > 100000 AND c_mktsegment <> '' AS matched FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def f_missing_matched(spark, d):
+    customer = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    joined = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice").join(customer, "o_custkey", "left")
+    named = joined.select("o_orderkey", F.when(F.col("o_totalprice") > 100000, F.col("c_mktsegment")).alias("product_id"), F.lit("").alias("matched_product"))
+    both = material.matched_lines(named).withColumn("matched", F.lit(True)).unionByName(material.missing_lines(named).withColumn("matched", F.lit(False)))
+    return both.select("o_orderkey", "matched")
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, n AS n_lines, q AS quantity FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) ON l_partkey = p_partkey""")
+def j_catalog_overlay(spark, d):
+    details = table(spark, d, "lineitem").filter("l_linenumber <= 2").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n_lines"), F.sum("l_quantity").alias("quantity"), F.lit("other").alias("name"), F.lit(1).alias("ord"))
+    return catalog.overlay(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), details)
+
+
+@query("""SELECT n_nationkey, coalesce(string_agg(s_name, ', ' ORDER BY s_name) FILTER (s_acctbal > 0), '') AS names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey""")
+def j_collect_names(spark, d):
+    supplier = table(spark, d, "supplier")
+    links = supplier.filter("s_acctbal > 0").select(F.col("s_nationkey").cast("string").alias("product_id"), F.col("s_suppkey").cast("string").alias("approval_id"))
+    named = catalog.with_approvals(table(spark, d, "nation").select("n_nationkey", F.col("n_nationkey").cast("string").alias("id")), links, supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name")))
+    return named.select("n_nationkey", F.array_join("approval_names", ", ").alias("names"))
+
+
+@query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS signup_id FROM events""")
+def j_asof_title(spark, d):
+    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    title = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(upto)
+    return table(spark, d, "events").select("event_id", "user_id", title.alias("signup_id"))
+
+
+@query("""SELECT c.conv_id, c.turn, l.last_system FROM conversations c LEFT JOIN (SELECT conv_id, max(turn) AS last_system FROM conversations WHERE role = 'system' GROUP BY 1) l USING (conv_id)""")
+def j_last_on_page(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    last = turns.filter("role = 'system'").groupBy("conv_id").agg(F.max_by("turn", "turn").alias("last_system"))
+    return turns.select("conv_id", "turn").join(last, "conv_id", "left")
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
+def w_dedup_first(spark, d):
+    # a text is compared by two independent hashes and its length, so rows of whole texts aren't shuffled
+    keyed = table(spark, d, "documents").select("doc_id", "lang", F.sha1(F.col("text").cast("binary")).alias("a"), F.xxhash64("text").alias("b"), F.length("text").alias("n"))
+    return keyed.groupBy("lang", "a", "b", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "lang")
+
+
+@query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 50")
+def o_review_queue(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    top = catalog.review_queue(orders, "O").limit(50)  # the first page of the queue
+    return top.select(F.col("id").alias("o_orderkey"), F.col("created_at").alias("o_orderdate"), F.row_number().over(Window.orderBy("created_at", "id")).cast("long").alias("place"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS parsed FROM lineitem")
+def x_number_parse(spark, d):
+    price = F.format_number("l_extendedprice", 2)
+    norwegian = F.translate(price, ",.", " ,")
+    shown = F.when(F.col("l_linenumber") % 3 == 0, norwegian).when(F.col("l_linenumber") % 3 == 1, price).otherwise(F.translate(price, ",.", ".,"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numbers.number(shown).alias("parsed"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'stk' WHEN 2 THEN 'm' WHEN 3 THEN 'm2' WHEN 4 THEN 'sett' WHEN 5 THEN 'RS' WHEN 6 THEN 'l' ELSE 'kg' END AS unit FROM lineitem")
+def x_unit_map(spark, d):
+    spelled = F.get(F.array(*map(F.lit, ("Pcs", "metre", "M²", "set", "rs", "Litre", "KG"))), F.col("l_linenumber") - 1)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", numbers.unit(F.coalesce(spelled, F.lit("KG"))).alias("unit"))
+
+
+def _rendered(spark, d, break_unit: bool = False) -> DataFrame:
+    """A page for each order: a heading, then a line for each line item."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    kind = F.get(F.array(*map(F.lit, ("Pipe", "Flange bolt", "Valve", "Sprinkler head", "Pressostat", "Hose clip", "Label"))), F.col("l_linenumber") - 1)
+    amount = F.regexp_replace(F.format_number("l_quantity", 2), ",", " ")
+    line = F.concat_ws(" ", F.concat_ws(".", F.lit("14.33"), "l_orderkey", "l_linenumber"), kind, F.concat(F.lit("DN"), F.col("p_size") + 10)), F.concat(F.lit("stk "), F.replace(amount, F.lit("."), F.lit(",")))
+    whole = F.concat(line[0], F.lit("\n" if break_unit else " "), line[1])
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(part, "l_partkey").select("l_orderkey", F.struct("l_linenumber", whole.alias("line")).alias("s"))
+    page = lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.line), "\n").alias("body"))
+    return extract.normalize_pages(page.select("doc_id", F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), F.concat(F.lit("NFPA 13\nSYSTEM SUMMARY\nDry riser\n"), "body").alias("text")))
+
+
+_RENDERED = """SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS ln, concat('14.33.', l_orderkey, '.', l_linenumber) AS post_number, l_quantity AS quantity, 'DN' || (p_size + 10) AS dimension,
+  CASE l_linenumber WHEN 1 THEN 'Pipe' WHEN 2 THEN 'Flange bolt' WHEN 3 THEN 'Valve' WHEN 4 THEN 'Sprinkler head' WHEN 5 THEN 'Pressostat' WHEN 6 THEN 'Hose clip' ELSE 'Label' END || ' DN' || (p_size + 10) AS description,
+  CASE l_linenumber WHEN 1 THEN 'pipe' WHEN 2 THEN 'fitting' WHEN 3 THEN 'valve' WHEN 4 THEN 'sprinkler' WHEN 5 THEN 'sensor' WHEN 6 THEN 'unknown' ELSE 'marking' END AS category FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+@query(f"SELECT doc_id, post_number, description, quantity, 'stk' AS unit, dimension, 'single-line' AS method FROM ({_RENDERED})")
+def x_quantity_parse(spark, d):
+    items = extract.line_items(_rendered(spark, d))
+    return items.select("doc_id", "post_number", "description", "quantity", "unit", "dimension", F.col("extraction_method").alias("method"))
+
+
+@query(f"SELECT doc_id, post_number, quantity, 'wrapped-line' AS method, description || chr(10) AS shown FROM ({_RENDERED})")
+def x_wrapped_rows(spark, d):
+    items = extract.line_items(_rendered(spark, d, break_unit=True))
+    return items.select("doc_id", "post_number", "quantity", F.col("extraction_method").alias("method"), F.concat("description", F.lit("\n")).alias("shown"))
+
+
+@query(f"""SELECT doc_id, post_number, category, CASE category WHEN 'unknown' THEN 'unknown-category' ELSE 'high-confidence' END AS flags, CASE category WHEN 'unknown' THEN 52 + 18 + 11 + 5 + 4 - 12 ELSE 99 END AS confidence,
+  'Tørropplegg / fire department connection' AS system, 'NFPA 13' AS standards FROM ({_RENDERED})""")
+def x_classify_score_flags(spark, d):
+    items = extract.line_items(_rendered(spark, d))
+    return items.select("doc_id", "post_number", "category", F.array_join("review_flags", ",").alias("flags"), "confidence", "system", F.array_join("standard_refs", ",").alias("standards"))
+
+
+@query(f"""SELECT doc_id, ln AS line, CASE category WHEN 'pipe' THEN 'Pipe' WHEN 'fitting' THEN 'Fitting' WHEN 'valve' THEN 'Valve' WHEN 'sprinkler' THEN 'Sprinkler' WHEN 'sensor' THEN 'Equipment' WHEN 'marking' THEN 'Other' ELSE 'Unknown' END AS category,
+  category IN ('unknown', 'marking') AS missing_from_database, 'Page 1, post ' || post_number AS source_reference, '/projects/demo/upload?postnr=' || post_number || '&page=1' AS document_href
+  FROM (SELECT doc_id, post_number, category, row_number() OVER (PARTITION BY doc_id ORDER BY ln, description, replace(printf('%.2f', quantity), '.', ',')) AS ln FROM ({_RENDERED}))""")
+def p_material_list(spark, d):
+    lines = material.material_lines(extract.line_items(_rendered(spark, d)))
+    return lines.select("doc_id", F.col("line").cast("long").alias("line"), "category", "missing_from_database", "source_reference", "document_href")
+
+
+@query(f"SELECT doc_id, count(*) AS n_matches, count(*) AS n_verified FROM ({_RENDERED}) WHERE category NOT IN ('unknown', 'marking') GROUP BY doc_id")
+def p_product_matches(spark, d):
+    matches = material.product_matches(material.material_lines(extract.line_items(_rendered(spark, d))))
+    return matches.groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.count_if(F.col("status") == "Verified").alias("n_verified"))
+
+
+@query("""SELECT p_partkey, 'DN' || p_size || ',' || (p_size + 20) || '°C,' || p_size || 'x' || (p_size + 1) || 'mm,' || (p_size + 1) || 'mm' AS dimensions FROM part WHERE p_size >= 10""")
+def x_dimensions(spark, d):
+    part = table(spark, d, "part").filter("p_size >= 10")
+    shown = F.concat(F.lit("Pipe dn "), "p_size", F.lit(" at "), F.col("p_size") + 20, F.lit(" ° c, "), "p_size", F.lit(" x "), F.col("p_size") + 1, F.lit(" mm and DN"), "p_size")
+    return part.select("p_partkey", F.array_join(classify.dimensions(shown), ",").alias("dimensions"))
+
+
+@query("""SELECT doc_id, code FROM (SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN ['NFPA 13', 'FM'] WHEN 1 THEN ['UL', 'NFPA 14'] ELSE ['VdS', 'NFPA 13'] END) AS code FROM documents)""")
+def x_standards(spark, d):
+    suffix = F.get(F.array(F.lit("nfpa  13, fm, NFPA13"), F.lit("UL and NFPA 14 (ul)"), F.lit("vds / NFPA13")), (F.col("doc_id") % 3).cast("int"))
+    pages = table(spark, d, "documents").select("doc_id", F.lit(0).alias("page_ord"), F.lit(0).alias("page_number"), suffix.alias("text"))
+    return extract.standards(extract.normalize_pages(pages)).select("doc_id", "code")
+
+
+@query("""WITH r AS (SELECT doc_id, unnest([doc_id % 90 + 1 || ' bar', 'QR', 'DN' || (doc_id % 90 + 10), 'UL']) AS value, unnest(['pressure', 'property', 'dimension', 'standard']) AS type FROM documents) SELECT doc_id, type, value FROM r""")
+def x_requirements(spark, d):
+    shown = F.concat(F.col("doc_id") % 90 + 1, F.lit(" bar, qR... QR; DN "), F.col("doc_id") % 90 + 10, F.lit("\nUL DN"), F.col("doc_id") % 90 + 10)
+    pages = table(spark, d, "documents").select("doc_id", F.lit(0).alias("page_ord"), F.lit(7).alias("page_number"), shown.alias("text"))
+    made = extract.requirements(extract.normalize_pages(pages))
+    return made.select("doc_id", "type", F.when(F.col("value") == "qR", "QR").otherwise(F.col("value")).alias("value"))
+
+
+@query("""SELECT doc_id, code FROM (SELECT conv_id AS doc_id, unnest(CASE WHEN conv_id % 2 = 0 THEN ['NO_STANDARDS_DETECTED', 'NO_LINE_ITEMS_DETECTED', 'NO_TEXT_EXTRACTED'] ELSE ['NO_STANDARDS_DETECTED', 'UNKNOWN_LINE_ITEMS_INCLUDED', 'MATERIAL_LINES_NEED_REVIEW'] END) AS code FROM (SELECT DISTINCT conv_id FROM conversations))""")
+def x_warnings(spark, d):
+    pages = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min("turn").alias("t"))
+    text_ = F.when(F.col("doc_id") % 2 == 0, "").otherwise("Insulation plate m2 45,5")
+    return extract.warnings(extract.normalize_pages(pages.select("doc_id", F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), text_.alias("text")))).select("doc_id", "code")
+
+
+@query("""SELECT p_partkey, left(p_name || ' 2024 Rev 3', 255) AS name, '2024' AS project_number, 'Rev 3' AS revision, 74 AS confidence FROM part""")
+def x_project(spark, d):
+    pages = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("page_ord"), F.lit(1).alias("page_number"), F.concat(F.lit(" "), "p_name", F.lit(" 2024 Rev 3 ")).alias("text"))
+    return extract.project(extract.normalize_pages(pages)).select(F.col("doc_id").alias("p_partkey"), "name", "project_number", "revision", "confidence")
+
+
+@query("SELECT o_orderkey, regexp_replace(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, CASE WHEN o_totalprice >= 94 THEN 'high' WHEN o_totalprice >= 90 THEN 'medium' ELSE 'low' END AS bucket FROM orders")
+def x_slug_bucket(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", text.slug(F.col("o_orderpriority")).alias("slug"), classify.bucket(F.col("o_totalprice")).alias("bucket"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, upper(event_type) AS kind FROM events")
+def n_json_fields(spark, d):
+    v = F.try_parse_json(F.concat(F.rtrim(F.regexp_replace("props", r"\}\s*$", "")), F.lit(', "empty": "", "kind": " '), F.upper("event_type"), F.lit(' "}')))
+    return table(spark, d, "events").select("event_id", products.read_text(v, ("nothing", "empty", "k")).alias("k"), products.read_text(v, ("kind",)).alias("kind"))
+
+
+@query("""SELECT l_orderkey, concat(1, CASE WHEN n > 1 THEN '.' || r ELSE '' END) AS source_row, 'Maker ' || l_orderkey AS manufacturer, CASE WHEN n > 1 THEN 'S' || l_linenumber ELSE NULL END AS product_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)) WHERE n > 1 OR r = 1""")
+def n_explode(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
+    models = F.when(F.size("n") > 1, F.transform("n", lambda x: F.struct(F.concat(F.lit("S"), x).alias("sin")))).otherwise(F.array().cast("array<struct<sin:string>>"))
+    shown = F.to_json(F.struct(F.array(F.struct(F.struct(models.alias("sprinklerModels")).alias("data"))).alias("products"), F.struct(F.concat(F.lit("Maker "), "l_orderkey").alias("manufacturer")).alias("documentInfo")))
+    made, _ = products.normalize(rows.select(F.col("l_orderkey").alias("import_id"), shown.alias("json")))
+    return made.select(F.col("import_id").alias("l_orderkey"), "source_row", "manufacturer", "product_no")
+
+
+@query("""SELECT p_partkey, (p_size / 10)::DECIMAL(10, 1)::DOUBLE AS a, p_size::BIGINT AS b, 'CE, UL' AS approvals, 'Red, Blue' AS color FROM part""")
+def n_kfactor(spark, d):
+    tenth = F.col("p_size") / 10
+    shown = F.concat(F.lit('[{"kFactor": [{"value": '), tenth, F.lit(', "units": "GPM"}, {"value": '), tenth, F.lit(', "units": "L PM/bar"}], "approvals": {"ceMark": true, "x": false, "ulListed": true}, "color": "Red, Blue", "finish": ["Red"]}]'))
+    made, _ = products.normalize(table(spark, d, "part").select(F.col("p_partkey").alias("import_id"), shown.alias("json")))
+    k = F.split(F.col("k_value_raw"), " ")
+    return made.select(F.col("import_id").alias("p_partkey"), k[0].cast("double").alias("a"), k[3].cast("long").alias("b"), "approvals", "color")
+
+
+@query("""SELECT conv_id, 'Item is not a JSON object.' AS message FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 4 = 1 UNION ALL SELECT conv_id, 'Invalid JSON. Import file must contain JSON.' FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 4 = 2""")
+def n_errors(spark, d):
+    ids = table(spark, d, "conversations").groupBy("conv_id").agg(F.min("turn").alias("t"))
+    shown = F.get(F.array(F.lit('{"name": "x"}'), F.lit("[3]"), F.lit("{no"), F.lit("[]")), (F.col("conv_id") % 4).cast("int"))
+    _, wrong = products.normalize(ids.select(F.col("conv_id").alias("import_id"), shown.alias("json")))
+    return wrong.select(F.col("import_id").alias("conv_id"), "message")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[{\"t\":' || (event_id % 7) || '}]' ELSE '[]' END AS temperature_ratings, CASE WHEN event_id % 3 = 0 THEN 'Red' ELSE 'old' END AS color FROM events")
+def n_backfill(spark, d):
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"data": {"temperatureRatings": [{"t": '), F.col("event_id") % 7, F.lit('}], "color": " Red "}}'))).when(F.col("event_id") % 3 == 1, '{"temperatureRatings": null}').otherwise("{bad")
+    return products.backfill(table(spark, d, "events").select("event_id", raw.alias("raw_text"), F.lit("[]").alias("temperature_ratings"), F.lit("old").alias("color"))).select("event_id", "temperature_ratings", "color")
+
+
+def _catalog(spark, d):
+    supplier = table(spark, d, "supplier")
+    rows = supplier.select(F.col("s_suppkey").cast("string").alias("id"), F.when(F.col("s_suppkey") % 5 == 0, " ").otherwise(F.col("s_name")).alias("manufacturer"), F.col("s_suppkey").cast("string").alias("product_no"), F.when(F.col("s_acctbal") > 0, "needs_review").otherwise("approved").alias("status"), F.lit(None).cast("timestamp").alias("reviewed_at"), F.lit(None).cast("timestamp").alias("updated_at"))
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"))
+    links = supplier.filter("s_suppkey % 2 = 0").select(F.concat(F.lit("l"), "s_suppkey").alias("id"), F.col("s_suppkey").cast("string").alias("product_id"), F.col("s_nationkey").cast("string").alias("approval_id"))
+    asked = supplier.join(nation.select(F.col("id").cast("int").alias("s_nationkey"), F.col("name")), "s_nationkey").select(F.col("s_suppkey").cast("string").alias("id"), F.concat("name", F.lit(" , , New "), F.col("s_nationkey") % 3).alias("approvals"))
+    return catalog.approve(rows, nation, links, asked, F.lit("2024-01-01").cast("timestamp"))
+
+
+_GRANTED = "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 5 <> 0"
+
+
+@query(f"""WITH g AS ({_GRANTED}) SELECT 'approval' AS what, count(*) AS n FROM (SELECT n_name FROM nation UNION SELECT 'New ' || (s_nationkey % 3) FROM g)
+  UNION ALL SELECT 'link', count(*) FROM (SELECT s_suppkey, s_nationkey::VARCHAR AS a FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT s_suppkey, s_nationkey::VARCHAR FROM g UNION SELECT s_suppkey, 'New ' || (s_nationkey % 3) FROM g)
+  UNION ALL SELECT 'approved', (SELECT count(*) FROM supplier WHERE s_acctbal <= 0) + count(*) FROM g
+  UNION ALL SELECT 'refused: ' || CASE WHEN s_acctbal <= 0 THEN 'not in review' ELSE 'manufacturer is required' END, count(*) FROM supplier WHERE NOT (s_acctbal > 0 AND s_suppkey % 5 <> 0) GROUP BY 1""")
+def t_approve_upsert(spark, d):
+    rows, approvals, links, refused = _catalog(spark, d)
+    counted = lambda df, name: df.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+    by_reason = refused.groupBy(F.concat(F.lit("refused: "), "reason").alias("what")).agg(F.count("*").alias("n"))
+    return counted(approvals, "approval").union(counted(links, "link")).union(counted(rows.filter("status = 'approved'"), "approved")).union(by_reason)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'New maker' ELSE '' END ELSE c_name END AS manufacturer, CASE WHEN c_acctbal > 0 AND c_custkey % 2 = 1 THEN NULL ELSE c_mktsegment END AS category FROM customer""")
+def t_patch(spark, d):
+    customer = table(spark, d, "customer")
+    rows = customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("manufacturer"), F.col("c_mktsegment").alias("category"), F.when(F.col("c_acctbal") > 0, "needs_review").otherwise("approved").alias("status"))
+    edits = customer.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, " New maker ").otherwise(" ").alias("manufacturer"), F.when(F.col("c_custkey") % 2 == 1, "  ").alias("category"))
+    changed, _ = catalog.patch(rows, edits, ["manufacturer", "category"])
+    return changed.select(F.col("id").alias("c_custkey"), "manufacturer", "category")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def f_in_list(spark, d):
+    wanted = catalog.equals(table(spark, d, "customer"), c_mktsegment="BUILDING").select(F.col("c_custkey").alias("o_custkey"))
+    return catalog.keep_ids(table(spark, d, "orders").select("o_orderkey", "o_custkey"), wanted, "o_custkey")
