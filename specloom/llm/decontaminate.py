@@ -199,6 +199,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     most PHRASE_BYTES of text, so what a task holds of it has a bound; all blocks' spans merge.
     """
     spark = documents.sparkSession
+    kit.small_batches(spark)
     documents, benchmark = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     held = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     blocks = 1 + int(held) * 2 // PHRASE_BYTES if held > PHRASE_BYTES else 1

@@ -29,6 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of this session hold at most so many rows: texts are long, and a worker keeps what it once took."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it from there: later jobs survive lost executors and repeat nothing."""
     shared_dir(df.sparkSession)

@@ -85,6 +85,7 @@ def fit(documents: DataFrame, train: Column, rows: int = TRAIN_ROWS) -> Model:
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for each row. A null text, or one without letters, is und with score 0."""
+    kit.small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(frames):

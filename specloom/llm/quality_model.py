@@ -150,6 +150,7 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 3e-3, d
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
     """Vectors and network from the texts and labels of about rows labelled documents outside the held-out bucket."""
+    kit.small_batches(documents.sparkSession)
     chosen = kit.labelled_sample(labels, "quality", 3, 1, rows)
     sample = kit.cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
     vectors = word_vectors(sample)
@@ -169,6 +170,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tupl
 def score(documents: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
     """All columns of documents and quality_score (instead of one of that name). Null texts score as empty ones; each row is scored by its text alone."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    kit.small_batches(documents.sparkSession)
     documents = documents.drop("quality_score")
     schema = T.StructType([*documents.schema.fields, T.StructField("quality_score", T.DoubleType())])
 

@@ -84,6 +84,7 @@ def train(terms: np.ndarray, documents: list[np.ndarray], y: np.ndarray, steps:
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """Learns from the texts and labels of about rows labelled documents outside the held-out bucket."""
+    kit.small_batches(documents.sparkSession)
     chosen = kit.labelled_sample(labels, "toxic", 5, 0, rows)
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("ids", pa.list_(pa.int64()))])
