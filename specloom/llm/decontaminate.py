@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from specloom.llm import kit
 
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 PHRASE_BYTES = 4 << 20
 SAMPLE_EVERY = 8
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from specloom.llm import kit
 
 TRAIN_ROWS = 12_000
+PIECE = kit.CHUNK_BYTES // 2  # words; runs of several texts hold no more
 DIMENSIONS, WORDS, SYMBOLS, SHAPES, REACH, HIDDEN = 32, 1 << 14, 1 << 10, 1 << 9, 2, 32
 
 #: Byte tables of the other two kinds: runs of ASCII punctuation; case patterns, other word bytes alike.
@@ -55,6 +56,24 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total
 
 
+def _pool(table: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, the sum of its words' vectors and of the products of adjacent ones.
+
+    A text of more than PIECE words, which is a run of its own, is summed in pieces: memory doesn't grow with it.
+    """
+    if len(ids) > PIECE:
+        total = np.zeros((2, table.shape[1]))
+        for a in range(0, len(ids), PIECE):
+            own = table[ids[a : a + PIECE + 1]]
+            total += own[:PIECE].sum(axis=0, dtype=np.float64), (own[:-1] * own[1:]).sum(axis=0, dtype=np.float64)
+        return total[:1].astype(np.float32), total[1:].astype(np.float32)
+    own = table[ids]
+    product = np.zeros_like(own)
+    product[:-1] = own[:-1] * own[1:]
+    product[bounds[1:][np.diff(bounds) > 0] - 1] = 0  # the last word of a text has no follower
+    return _sums(own, bounds), _sums(product, bounds)
+
+
 def features(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """A row of pooled values for each text, of whole texts; zeros where there are no words."""
     kinds = []
@@ -62,15 +81,10 @@ def features(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
         table = vectors if kind == 0 else INDEX[kind]
         pooled, counts, beside = [], [], []
         for _, _, ids, bounds in _token_runs(column, kind):
-            own = table[ids]
-            pooled.append(_sums(own, bounds))
+            total, products = _pool(table, ids, bounds)
+            pooled.append(total)
             counts.append(np.diff(bounds))
-            if kind == 0:
-                product = np.zeros_like(own)
-                product[:-1] = own[:-1] * own[1:]
-                inner = bounds[1:][np.diff(bounds) > 0] - 1
-                product[inner] = 0  # the last word of a text has no follower
-                beside.append(_sums(product, bounds))
+            beside.append(products)
         n = np.concatenate(counts or [np.zeros(0, np.int64)]).astype(np.float32)[:, None]
         kinds.append((np.concatenate(pooled or [np.zeros((0, DIMENSIONS), np.float32)]) / np.maximum(n, 1), n))
         if kind == 0:
