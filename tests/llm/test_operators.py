@@ -44,8 +44,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-def test_ngram_join_is_exact(docs):
-    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
+def brute_components(sets):
     label = {i: i for i in sets}
 
     def top(v):
@@ -56,9 +55,32 @@ def test_ngram_join_is_exact(docs):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((top(a), top(b)))
                 label[y] = x
+    return {(i, len(s), top(i)) for i, s in sets.items()}
+
+
+def test_ngram_join_is_exact(docs):
     got = ngram_join.ngram_join(docs).collect()
     assert len(got) == docs.count()
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), top(i)) for i, s in sets.items()}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components({r.doc_id: shingle_set(r.text) for r in docs.collect()})
+
+
+def test_ngram_join_of_large_groups(spark, monkeypatch):
+    """Lists of the heavy table: near copies, exact copies, and one passage in texts that don't link."""
+    random.seed(4)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = []
+    for i in range(90):
+        words = (passage + " " + " ".join(f"t{j}" for j in range(60))).split()
+        words[random.randrange(40, 100)] = f"x{i % 50}"
+        texts.append(" ".join(words))
+        texts.append(passage + " " + " ".join(random.choices([f"v{j}" for j in range(9)], k=random.choice([4, 6, 60]))))
+    rows = list(enumerate(texts + texts[:20]))
+    want = brute_components({i: shingle_set(t) for i, t in rows})
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    for heavy_from in (8, 10_000):
+        monkeypatch.setattr(ngram_join, "HEAVY_FROM", heavy_from)
+        assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(table).collect()} == want
 
 
 def test_t_occurrence_against_sets():
