@@ -1,22 +1,22 @@
 """URL filter by association rules (operator 7), in DataFrame functions and Spark ML only.
 
-A short list of host and path rules decides first; its verdicts are the labels, and a page that it doesn't reach counts
-as allow (positive and unlabelled), so that no host is blocked for what was only seen on another. FP-growth mines
-combinations of URL tokens that go with a verdict. Rules pruned by support and confidence judge the URLs that no listed rule fits,
-through an inverted index: a rule is filed under its rarest token only, then its other tokens are tested.
+A short list of host and path rules decides first. The pages that it reaches, with its verdicts as labels, are what
+FP-growth mines for combinations of URL tokens that go with a verdict. Rules pruned by support and confidence judge the
+URLs that no listed rule fits, through an inverted index: a rule is filed under its rarest token only, then its other
+tokens are tested. Rules that can never decide, as one with fewer tokens always comes first, are dropped before.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm import kit
 
 #: Host, path and verdict.
 LISTED = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-SUPPORT, CONFIDENCE, MOST_RULES = 0.01, 0.9, 2000
+SUPPORT, CONFIDENCE = 0.01, 0.9
 
 
 def host(url: Column) -> Column:
@@ -48,15 +48,34 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """rule_id, tokens, verdict, confidence, support of at most MOST_RULES rules from (tokens, verdict) rows."""
+    """rule_tokens, learned, confidence, support of all rules from (tokens, verdict) rows."""
     spark = labelled.sparkSession
     if labelled.isEmpty():
-        return spark.createDataFrame([], "rule_id int, rule_tokens array<string>, learned string, confidence double, support double")
+        return spark.createDataFrame([], "rule_tokens array<string>, learned string, confidence double, support double")
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
     rules = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).associationRules
-    own = rules.filter(F.get("consequent", F.lit(0)).startswith("verdict:")).select(F.array_sort("antecedent").alias("rule_tokens"), F.substring(F.get("consequent", F.lit(0)), 9, 99).alias("learned"), "confidence", "support")
-    best = own.orderBy(F.desc("confidence"), F.desc("support"), F.size("rule_tokens"), F.array_join("rule_tokens", " ")).limit(MOST_RULES)
-    return best.withColumn("rule_id", F.row_number().over(Window.orderBy(F.desc("confidence"), F.desc("support"), F.size("rule_tokens"), F.array_join("rule_tokens", " "))))
+    return rules.filter(F.get("consequent", F.lit(0)).startswith("verdict:")).select(F.array_sort("antecedent").alias("rule_tokens"), F.substring(F.get("consequent", F.lit(0)), 9, 99).alias("learned"), "confidence", "support")
+
+
+def place() -> Column:
+    """Order in which rules decide: confidence, support, fewest tokens, text."""
+    return F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("rule_tokens").alias("n"), F.array_join("rule_tokens", " ").alias("name"), F.col("learned").alias("v"))
+
+
+def prune(rules: DataFrame) -> DataFrame:
+    """rules but those whose tokens include all of a rule that comes before: wherever such a rule fits, the other decides."""
+    rules = kit.cut(rules.withColumn("place", place()))
+    filed = _filed(rules, rules.select(F.explode("rule_tokens").alias("token"))).select("token", F.col("rule_tokens").alias("less"), F.col("place").alias("before"))
+    pairs = rules.select("rule_tokens", "learned", "place", F.explode("rule_tokens").alias("token")).join(filed, "token")
+    idle = pairs.filter((F.size(F.array_except("less", "rule_tokens")) == 0) & (F.col("before") < F.col("place"))).select("rule_tokens", "learned").distinct()
+    return rules.join(idle, ["rule_tokens", "learned"], "left_anti").select(rules.columns)
+
+
+def _filed(rules: DataFrame, seen: DataFrame) -> DataFrame:
+    """rules with the token each is filed under: the one that is rarest in seen."""
+    counts = seen.groupBy("token").count()
+    rarest = rules.select("rule_tokens", F.explode("rule_tokens").alias("token")).join(counts, "token", "left").groupBy("rule_tokens").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
+    return rules.join(rarest, "rule_tokens")
 
 
 def url_filter(pages: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, listing=LISTED) -> DataFrame:
@@ -72,13 +91,11 @@ def url_filter(pages: DataFrame, support: float = SUPPORT, confidence: float = C
     url = F.col("url")
     parsed = pages.select("page_id", "url", host(url).alias("host"), path(url).alias("path"))
     judged = parsed.select("*", rule.alias("rule"), verdict.alias("verdict"), F.when(url.contains("://"), tokens(url)).otherwise(F.array().cast("array<string>")).alias("tokens"))
-    learned = kit.cut(mine(judged.select("tokens", F.coalesce("verdict", F.lit("allow")).alias("verdict")), support, confidence))
-    counts = judged.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    filed = learned.select("rule_id", F.explode("rule_tokens").alias("token")).join(counts, "token", "left").groupBy("rule_id").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
-    index = filed.join(learned, "rule_id").select("token", "rule_id", "rule_tokens", "learned")  # at most MOST_RULES rows
+    learned = kit.cut(prune(mine(judged.select("tokens", "verdict").filter("verdict is not null"), support, confidence)))
+    index = _filed(learned, judged.select(F.explode("tokens").alias("token"))).select("token", "rule_tokens", "learned", "place")
     open_ = judged.filter("verdict is null").select("url", "tokens").distinct()
     tested = open_.select("url", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token").filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-    found = tested.groupBy("url").agg(F.min_by(F.struct("learned", F.array_join("rule_tokens", " ").alias("name")), "rule_id").alias("best"))
+    found = tested.groupBy("url").agg(F.min_by(F.struct("learned", F.array_join("rule_tokens", " ").alias("name")), "place").alias("best"))
     return judged.join(found, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "best.learned", F.lit("allow")).alias("verdict"), F.when(F.col("verdict").isNull(), F.col("best.name")).alias("learned_rule"))
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+from specloom.llm import url_filter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -50,3 +51,29 @@ def test_stage_of_near_duplicates_at_five_words(spark):
     assert want != firsts(texts, 4, 85)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
+LISTING = (("a.org", "/x/", "block"), ("b.org", "/", "allow"))
+
+
+def test_learned_rules_judge_unlisted_pages(spark):
+    urls = [f"http://a.org/x/ads/p{i % 3}" for i in range(20)] + [f"http://b.org/news/p{i % 3}" for i in range(20)] + [f"http://c{i}.org/ads/q" for i in range(5)] + ["http://d.org/news/q", "http://e.org/r"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_filter(rows, listing=LISTING).collect()}
+    assert {(got[i].verdict, got[i].learned_rule) for i in range(40, 45)} == {("block", "path:ads")}
+    assert (got[45].verdict, got[45].learned_rule) == ("allow", "path:news") and (got[46].verdict, got[46].learned_rule) == ("allow", None)
+
+
+def test_no_rule_is_capped_and_pruning_loses_none(spark):
+    tokens = [f"t{i:02d}" for i in range(12)]
+    rows = [(tokens, "block")] * 9 + [(["t00", "u"], "allow"), (["u"], "allow")]
+    rules = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string")).cache()
+    assert rules.count() == 2**12 - 1 + 2
+    every = [(-r.confidence, -r.support, len(r.rule_tokens), " ".join(r.rule_tokens), set(r.rule_tokens)) for r in rules.collect()]
+    kept = [(-r.confidence, -r.support, len(r.rule_tokens), " ".join(r.rule_tokens), set(r.rule_tokens)) for r in url_filter.prune(rules).collect()]
+    assert len(kept) < 20
+    random.seed(6)
+    for _ in range(100):
+        page = set(random.sample([*tokens, "u"], random.randint(1, 6)))
+        first = lambda all_: min((r[:4] for r in all_ if r[4] <= page), default=None)
+        assert first(kept) == first(every)
