@@ -125,17 +125,27 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of benchmark items over an alphabet of their words' hashes."""
-
-    def __init__(self, items: list[tuple[int, str | None]], window: int):
-        words = [(i, kit.hash_words_of(t, kit.ALNUM)) for i, t in items if i is not None]
-        self.alphabet = np.unique(np.concatenate([w for _, w in words] or [np.zeros(0, np.uint64)]))
-        by_length: dict[int, list] = {}
-        for item, hashes in words:
-            symbols, width = np.searchsorted(self.alphabet, hashes) + 1, min(window, len(hashes))
-            for a in range(len(symbols) - width + 1 if width else 0):
-                by_length.setdefault(width, []).append((item, symbols[a : a + width]))
-        self.windows = [(w, np.array([i for i, _ in rows]), np.array([s for _, s in rows])) for w, rows in by_length.items()]
+    """Windows of benchmark items, which come in blocks, over one alphabet of all their words' hashes."""
+
+    def __init__(self, blocks: list[list[tuple[int, str | None]]], window: int):
+        hashed = [[(i, kit.hash_words_of(t, kit.ALNUM)) for i, t in items if i is not None] for items in blocks]
+        none, self.window = np.zeros(0, np.uint64), window
+        self.alphabet = np.unique(np.concatenate([none, *(w for rows in hashed for _, w in rows)]))
+        self.blocks = []
+        for rows in hashed:
+            symbols = (np.searchsorted(self.alphabet, np.concatenate([none, *(w for _, w in rows)])) + 1).astype(np.int32)
+            self.blocks.append((np.array([i for i, _ in rows], np.int64), symbols, np.cumsum([0, *(len(w) for _, w in rows)])))
+
+    def windows(self):
+        """Yields (width, items, windows), those of one block at a time."""
+        for items, symbols, bounds in self.blocks:
+            lengths = np.diff(bounds)
+            widths = np.minimum(lengths, self.window)
+            for width in np.unique(widths[widths > 0]):
+                own = np.flatnonzero(widths == width)
+                count = lengths[own] - width + 1
+                start = np.repeat(bounds[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                yield width, np.repeat(items[own], count), symbols[start[:, None] + np.arange(width)]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.alphabet):
@@ -149,7 +159,7 @@ def _scan(symbols: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray
     out = [(np.zeros(0, np.int64),) * 3]
     if symbols.any():
         index = FMIndex(symbols, len(phrases.alphabet))
-        for width, items, windows in phrases.windows:
+        for width, items, windows in phrases.windows():
             low, high = index.search(windows)
             count = high - low
             which = np.repeat(np.arange(len(count)), count)
@@ -195,8 +205,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. Null and empty texts have no words. An item
     of fewer words than window is one window; an item without words or id has none. Repeated rows count each for
-    themselves; an empty benchmark hits nothing. Other columns are ignored. The benchmark is searched in blocks of at
-    most PHRASE_BYTES of text, so what a task holds of it has a bound; all blocks' spans merge.
+    themselves; an empty benchmark hits nothing. Other columns are ignored. Each shard is searched for
+    the benchmark in blocks of at most PHRASE_BYTES of text: a task holds the whole benchmark as symbols, 4 bytes a word,
+    and the windows of one block.
     """
     spark = documents.sparkSession
     kit.small_batches(spark)
@@ -204,39 +215,28 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     held = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     blocks = 1 + int(held) * 2 // PHRASE_BYTES if held > PHRASE_BYTES else 1
 
-    def searched(block: int) -> DataFrame:
-        part = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(Phrases([tuple(r) for r in part.collect()], window))
-
-        def run(batches):
-            phrases, ids, words, amount = shared.value, [], [], 0
-            for batch in batches:
-                names = batch.column("doc_id").to_pylist()
-                data, offsets = kit.text_buffers(batch.column("text"))
-                for first, last, hashes, bounds in kit.word_hashes(data, offsets, kit.ALNUM):
-                    symbols = phrases.symbols(hashes).astype(np.int32)
-                    for r in range(first, last):
-                        ids.append(names[r])
-                        words.append(symbols[bounds[r - first] : bounds[r - first + 1]])
-                        amount += len(words[-1]) + 1
-                    if amount >= SHARD_WORDS:
-                        yield _shard_rows(ids, words, phrases)
-                        ids, words, amount = [], [], 0
-            if ids:
-                yield _shard_rows(ids, words, phrases)
-
-        return documents.mapInArrow(run, "doc_id long, n_words long, items array<long>, starts array<long>, ends array<long>")
-
-    if blocks == 1:
-        found = searched(0)
-        return found.select("doc_id", "n_words", "items", F.arrays_zip("starts", "ends").alias("spans"))
-    found = searched(0)
-    for block in range(1, blocks):
-        found = found.unionByName(searched(block))
-    every = found.groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"))
-    empty = F.array().cast("array<struct<starts:bigint,ends:bigint>>")
-    joined = lambda a, s: F.when((F.size(a) > 0) & (s.starts <= F.try_element_at(a, F.lit(-1)).ends), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1)).starts.alias("starts"), F.greatest(F.try_element_at(a, F.lit(-1)).ends, s.ends).alias("ends"))))).otherwise(F.concat(a, F.array(s)))
-    return every.withColumn("spans", F.aggregate("spans", empty, joined))
+    part = lambda block: benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+    shared = spark.sparkContext.broadcast(Phrases([[tuple(r) for r in part(block).collect()] for block in range(blocks)], window))
+
+    def run(batches):
+        phrases, ids, words, amount = shared.value, [], [], 0
+        for batch in batches:
+            names = batch.column("doc_id").to_pylist()
+            data, offsets = kit.text_buffers(batch.column("text"))
+            for first, last, hashes, bounds in kit.word_hashes(data, offsets, kit.ALNUM):
+                symbols = phrases.symbols(hashes).astype(np.int32)
+                for r in range(first, last):
+                    ids.append(names[r])
+                    words.append(symbols[bounds[r - first] : bounds[r - first + 1]])
+                    amount += len(words[-1]) + 1
+                if amount >= SHARD_WORDS:
+                    yield _shard_rows(ids, words, phrases)
+                    ids, words, amount = [], [], 0
+        if ids:
+            yield _shard_rows(ids, words, phrases)
+
+    found = documents.mapInArrow(run, "doc_id long, n_words long, items array<long>, starts array<long>, ends array<long>")
+    return found.select("doc_id", "n_words", "items", F.arrays_zip("starts", "ends").alias("spans"))
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from specloom.llm import url_filter
+from specloom.llm import decontaminate, url_filter
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -77,3 +77,14 @@ def test_no_rule_is_capped_and_pruning_loses_none(spark):
         page = set(random.sample([*tokens, "u"], random.randint(1, 6)))
         first = lambda all_: min((r[:4] for r in all_ if r[4] <= page), default=None)
         assert first(kept) == first(every)
+
+
+def test_blocks_of_the_benchmark_keep_each_row(spark, monkeypatch):
+    texts = [(1, "a b x y"), (1, "a b x y"), (None, "a b x y"), (None, "c d x y"), (2, "a b c d"), (2, "x y c d"), (3, None), (3, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "b c"), (4, "d"), *((i, f"other{i} word") for i in range(5, 90))], "item_id long, text string")
+    rows = lambda: sorted(((r.doc_id, r.n_words, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in decontaminate.contamination(docs, bench).collect()), key=repr)
+    want = sorted([(1, 4, (1,), ((0, 2),)), (1, 4, (1,), ((0, 2),)), (None, 4, (1,), ((0, 2),)), (None, 4, (2, 4), ((0, 2),)), (2, 4, (1, 2, 3, 4), ((0, 4),)), (2, 4, (2, 4), ((2, 4),)), (3, 0, (), ()), (3, 0, (), ())], key=repr)
+    assert rows() == want
+    monkeypatch.setattr(decontaminate, "PHRASE_BYTES", 300)
+    assert rows() == want
