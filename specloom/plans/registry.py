@@ -99,6 +99,14 @@ def j_catalog_overlay(spark, d):
     return catalog.overlay(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), details)
 
 
+@query("""SELECT p_partkey AS id, p_name AS name, l_orderkey AS order_id, l_linenumber AS line, l_quantity AS quantity FROM part
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_quantity DESC) AS r FROM lineitem) ON l_partkey = p_partkey AND r = 1""")
+def j_catalog_overlay_lines(spark, d):
+    """All line items as details, the last of each part wins."""
+    details = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.lit("other").alias("name"), F.struct("l_orderkey", "l_linenumber", "l_quantity").alias("ord"))
+    return catalog.overlay(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), details)
+
+
 @query("""SELECT n_nationkey, coalesce(string_agg(s_name, ', ' ORDER BY s_name) FILTER (s_acctbal > 0), '') AS names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey""")
 def j_collect_names(spark, d):
     supplier = table(spark, d, "supplier")
@@ -135,6 +143,13 @@ def o_review_queue(spark, d):
     return top.select(F.col("id").alias("o_orderkey"), F.col("created_at").alias("o_orderdate"), F.row_number().over(Window.orderBy("created_at", "id")).cast("long").alias("place"))
 
 
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey")
+def o_review_queue_whole(spark, d):
+    """The whole queue in its order, as the reference's GET returns it."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    return catalog.review_queue(orders, "O").select(F.col("id").alias("o_orderkey"), F.col("created_at").alias("o_orderdate"))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS parsed FROM lineitem")
 def x_number_parse(spark, d):
     price = F.format_number("l_extendedprice", 2)
@@ -206,6 +221,13 @@ def x_dimensions(spark, d):
     return part.select("p_partkey", F.array_join(classify.dimensions(shown), ",").alias("dimensions"))
 
 
+@query("""SELECT p_partkey, CASE WHEN p_size >= 10 THEN 'DN' || p_size || ',' ELSE '' END || (p_size + 20) || '°C,' || p_size || 'x' || (p_size + 1) || 'mm,' || (p_size + 1) || 'mm' AS dimensions FROM part""")
+def x_dimensions_all(spark, d):
+    """All parts; DN takes two digits or more, so a short size gives none."""
+    shown = F.concat(F.lit("Pipe dn "), "p_size", F.lit(" at "), F.col("p_size") + 20, F.lit(" ° c, "), "p_size", F.lit(" x "), F.col("p_size") + 1, F.lit(" mm and DN"), "p_size")
+    return table(spark, d, "part").select("p_partkey", F.array_join(classify.dimensions(shown), ",").alias("dimensions"))
+
+
 @query("""SELECT doc_id, code FROM (SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN ['NFPA 13', 'FM'] WHEN 1 THEN ['UL', 'NFPA 14'] ELSE ['VdS', 'NFPA 13'] END) AS code FROM documents)""")
 def x_standards(spark, d):
     suffix = F.get(F.array(F.lit("nfpa  13, fm, NFPA13"), F.lit("UL and NFPA 14 (ul)"), F.lit("vds / NFPA13")), (F.col("doc_id") % 3).cast("int"))
