@@ -178,10 +178,10 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[head], end[np.concatenate((np.flatnonzero(head)[1:] - 1, [len(end) - 1]))]
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
 
 
-def _shard_rows(ids: list, words: list[np.ndarray], phrases: Phrases) -> pa.RecordBatch:
+def _shard_rows(rows: list, words: list[np.ndarray], phrases: Phrases) -> pa.RecordBatch:
     counts = np.array([len(w) for w in words], np.int64)
     first = np.concatenate(([0], np.cumsum(counts + 1)))  # a break after each document
     symbols = np.zeros(first[-1], np.int64)
@@ -189,7 +189,7 @@ def _shard_rows(ids: list, words: list[np.ndarray], phrases: Phrases) -> pa.Reco
         symbols[a : a + len(w)] = w
     position, length, item = _scan(symbols, phrases)
     row = np.searchsorted(first, position, "right") - 1
-    items, starts, ends = ([[] for _ in ids] for _ in range(3))
+    items, starts, ends = ([[] for _ in rows] for _ in range(3))
     order = np.argsort(row, kind="stable")
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(row[order])) + 1, [len(order)]))
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -197,21 +197,21 @@ def _shard_rows(ids: list, words: list[np.ndarray], phrases: Phrases) -> pa.Reco
             own, r = order[a:b], row[order[a]]
             items[r] = np.unique(item[own])
             starts[r], ends[r] = merge_spans(position[own] - first[r], position[own] - first[r] + length[own])
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, counts, items, starts, ends), _SCHEMA.types, strict=True)], schema=_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([i for i, _ in rows], [k for _, k in rows], counts, items, starts, ends), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """A row for each row of documents: doc_id, n_words, items (sorted item_ids), spans (word starts and ends to remove).
+    """A row for each row of documents: doc_id, row_key (of its text), n_words, items (sorted item_ids), spans (word starts and ends to remove).
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. Null and empty texts have no words. An item
-    of fewer words than window is one window; an item without words or id has none. Repeated rows count each for
-    themselves; an empty benchmark hits nothing. Other columns are ignored. Each shard is searched for
+    of fewer words than window is one window; an item without words or id has none. Repeated rows, and those
+    without a doc_id, count each for themselves; an empty benchmark hits nothing. Other columns are ignored. Each shard is searched for
     the benchmark in blocks of at most PHRASE_BYTES of text: a task holds the whole benchmark as symbols, 4 bytes a word,
     and the windows of one block.
     """
     spark = documents.sparkSession
     kit.small_batches(spark)
-    documents, benchmark = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    documents, benchmark = documents.select(F.col("doc_id").cast("long").alias("doc_id"), kit.row_key().alias("row_key"), "text"), benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     held = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     blocks = 1 + int(held) * 2 // PHRASE_BYTES if held > PHRASE_BYTES else 1
 
@@ -219,24 +219,24 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     shared = spark.sparkContext.broadcast(Phrases([[tuple(r) for r in part(block).collect()] for block in range(blocks)], window))
 
     def run(batches):
-        phrases, ids, words, amount = shared.value, [], [], 0
+        phrases, rows, words, amount = shared.value, [], [], 0
         for batch in batches:
-            names = batch.column("doc_id").to_pylist()
+            names = list(zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), strict=True))
             data, offsets = kit.text_buffers(batch.column("text"))
             for first, last, hashes, bounds in kit.word_hashes(data, offsets, kit.ALNUM):
                 symbols = phrases.symbols(hashes).astype(np.int32)
                 for r in range(first, last):
-                    ids.append(names[r])
+                    rows.append(names[r])
                     words.append(symbols[bounds[r - first] : bounds[r - first + 1]])
                     amount += len(words[-1]) + 1
                 if amount >= SHARD_WORDS:
-                    yield _shard_rows(ids, words, phrases)
-                    ids, words, amount = [], [], 0
-        if ids:
-            yield _shard_rows(ids, words, phrases)
+                    yield _shard_rows(rows, words, phrases)
+                    rows, words, amount = [], [], 0
+        if rows:
+            yield _shard_rows(rows, words, phrases)
 
-    found = documents.mapInArrow(run, "doc_id long, n_words long, items array<long>, starts array<long>, ends array<long>")
-    return found.select("doc_id", "n_words", "items", F.arrays_zip("starts", "ends").alias("spans"))
+    found = documents.mapInArrow(run, "doc_id long, row_key long, n_words long, items array<long>, starts array<long>, ends array<long>")
+    return found.select("doc_id", "row_key", "n_words", "items", F.arrays_zip("starts", "ends").alias("spans"))
 
 
 def op4_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 512 << 10
@@ -19,19 +17,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only a local master, whose one process is driver and executor, may do without: it takes a folder under /tmp.
+    """
     context = spark.sparkContext
-    found = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="specloom-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(found or "/tmp/specloom-checkpoints")
     return context.getCheckpointDir()
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of this session hold at most so many rows: texts are long, and a worker keeps what it once took."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_BYTES = 1 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold about so many bytes at most: texts are long, and a worker keeps what it once took.
+
+    Rows of one batch are of no consequence to any result, so the setting may stay.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,10 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
-def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """documents but those whose doc_id is in ids; the ids are sent to all tasks only if they are few."""
-    ids = cut(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
-    return documents.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, "doc_id", "left_anti").select(*documents.columns)
+def row_key() -> Column:
+    """64 bits that tell rows of one doc_id apart by their text; rows without a doc_id too."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def few(df: DataFrame, width: int) -> DataFrame:
+    """df, for all tasks if its rows of about width bytes are few."""
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
+def without(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """documents but those that rows (doc_id, row_key) names; a row of another text, or without a doc_id, is another row."""
+    rows = cut(rows.select(F.col("doc_id").cast("long").alias("_id"), F.col("row_key").alias("_row")).distinct())
+    own = F.xxhash64(F.col("d.doc_id").cast("long"), F.col("d.text")) == F.col("gone._row")
+    return documents.alias("d").join(few(rows.alias("gone"), 24), own & F.col("d.doc_id").cast("long").eqNullSafe(F.col("gone._id")), "left_anti")
 
 
 def let(value: Column, body) -> Column:
@@ -58,11 +78,37 @@ def crc_bucket(id_column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def sampled(df: DataFrame, by: str, rows: int, *key: str) -> DataFrame:
+    """About rows rows of df, chosen by a hash of key: of each value of by its share of rows, though a tenth of rows for a
+    rare one if it has as many. The values of by are few, and none goes without rows."""
+    sizes = df.groupBy(by).count()
+    held = F.sum("count").over(Window.partitionBy())  # one row for each value of by
+    share = F.least(F.lit(1.0), F.greatest(F.lit(rows) / held, F.lit(rows / 10) / F.col("count")))
+    shares = sizes.select(F.col(by).alias("_by"), share.alias("_share"))
+    drawn = F.xxhash64(*key) / F.lit(2.0**64) + 0.5
+    return df.join(F.broadcast(shares), F.col(by) == F.col("_by")).filter(drawn < F.col("_share")).drop("_by", "_share")
+
+
 def labelled_sample(labels: DataFrame, column: str, modulus: int, held_out: int, rows: int) -> DataFrame:
-    """doc_id and label of about rows labelled ids outside the held-out bucket, chosen by hash; small enough to broadcast."""
-    known = labels.filter(F.col(column).isNotNull() & (crc_bucket("doc_id", modulus) != held_out)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("double").alias("label"))
-    share = min(1.0, rows / max(1, known.count()))
-    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    """doc_id and label (0 or 1) of about rows labelled ids outside the held-out bucket; small enough to broadcast.
+
+    Of an id with several labels the largest counts.
+    """
+    known = labels.filter(F.col(column).isNotNull() & (crc_bucket("doc_id", modulus) != held_out)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col(column) > 0).cast("int")).cast("double").alias("label"))
+    return sampled(known, "label", rows, "doc_id")
+
+
+def one_text(sample: DataFrame, *others: str) -> DataFrame:
+    """One row for each doc_id of a bounded sample (doc_id, text, others): the text of smallest hash, then in order of text."""
+    return sample.groupBy("doc_id", *others).agg(F.min(F.struct(F.xxhash64("text"), F.col("text").alias("text"))).alias("t")).select("doc_id", *others, "t.text")
 
 
 def held_out(modulus: int, bucket: int) -> Column:

@@ -18,11 +18,21 @@ from pyspark.sql import functions as F
 
 from specloom.llm import kit
 
+#: Bounds of what is learned: training rows, and the most frequent words, n-grams and languages that the model holds.
 TRAIN_ROWS, WORDS, GRAMS, LONGEST, LANGUAGES = 20_000, 150_000, 60_000, 4, 200
 CACHED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Runs of letters in lower case, as \\p{L}+ in fit: numerals that Python counts as word characters break a run."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [run for word in found for run in "".join(c if c.isalpha() else " " for c in word).split()]
+
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -40,7 +50,7 @@ class Model:
         return np.zeros(len(self.languages), np.float32)
 
     def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
+        words = words_of(text)
         if not words or not self.languages:
             return "und", 0.0
         at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
@@ -67,16 +77,16 @@ def _table(counts: DataFrame, key: str, most: int, languages: list[str]) -> tupl
 
 
 def fit(documents: DataFrame, train: Column, rows: int = TRAIN_ROWS) -> Model:
-    """Learns from about rows documents (chosen by hash) where train holds and lang and text are not null."""
+    """Learns from about rows documents where train holds and lang and text are not null: of each language its share, but a
+    tenth of rows for a rare one if it has as many. Of more than LANGUAGES languages the most frequent are learned."""
     known = documents.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     by_language = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in by_language)
     if not languages:
         return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
-    share = min(1.0, rows / sum(r["count"] for r in by_language))
-    sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = kit.sampled(known.filter(F.col("lang").isin(languages)), "lang", rows, "doc_id", "lang")
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("word"))
-    counts = kit.cut(words.groupBy("lang", "word").agg(F.count("*").alias("n")).filter(F.length("word") <= 60))
+    counts = kit.cut(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda a: F.substr(padded, a, n))))
     grams = counts.select("lang", "n", F.explode(cuts).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -37,7 +37,7 @@ def poisson_table(rate: Column) -> Column:
 
 def rates(documents: DataFrame, weights: dict[str, float] | None, exponent: float, epochs: float) -> DataFrame:
     """source, size (characters), rate, and the table for one of parts equal draws that together have the rate."""
-    sizes = documents.groupBy("source").agg(F.sum(F.length(F.coalesce(F.col("text"), F.lit("")))).alias("size"))
+    sizes = documents.select("source", "text").groupBy("source").agg(F.sum(F.length(F.coalesce(F.col("text"), F.lit("")))).alias("size"))
     if weights is None:
         target = F.pow(F.col("size").cast("double"), F.lit(float(exponent)))
     else:
@@ -56,19 +56,22 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, exponent:
     weights: target share by source; a source that it leaves out gets none. None: shares in proportion to size to the
     power exponent, size in characters. The output has epochs times the characters of the input in expectation. A null
     source is a source; a null text has no characters and is copied at its source's rate; rows that repeat a doc_id draw
-    alike. A source of no characters gets none. An empty table gives none.
+    alike. A source of no characters gets none. An empty table gives none. A column of documents that is called replica or
+    order_key gives way to the result's own; other names may be any.
     """
+    own = [c for c in documents.columns if c.lower() not in ("replica", "order_key")]
+    source, parts, cumulative, copies, salt = (kit.fresh(documents, n) for n in ("of_source", "n_parts", "cumulative", "n_copies", "salt"))
     known = rates(documents, weights, exponent, epochs)
-    known = kit.cut(known.select(F.col("source").alias("_source"), "parts", F.col("cumulative").alias("_cumulative")))
-    key = F.col("source").eqNullSafe(F.col("_source"))
+    known = kit.cut(known.select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cumulative").alias(cumulative)))
+    key = F.col("source").eqNullSafe(F.col(source))
     if known.count() <= BROADCAST_SOURCES:
         joined = documents.join(F.broadcast(known), key)
     else:  # a large source's rows are dealt over SALTS tasks
-        salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = documents.withColumn("_row", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(salted, key & (F.col("_row") == F.col("_salt")))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda a, j: a + kit.let(uniform(F.lit(seed), F.col("doc_id"), j), lambda u: F.size(F.filter("_cumulative", lambda c: c <= u))))
-    counted = joined.select(*documents.columns, drawn.alias("_copies")).filter("_copies > 0")
-    copied = counted.select(*documents.columns, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("replica"))
+        salted = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = documents.join(salted, key & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int") == F.col(salt)))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, j: a + kit.let(uniform(F.lit(seed), F.col("doc_id"), j), lambda u: F.size(F.filter(cumulative, lambda c: c <= u))))
+    counted = joined.select(*own, drawn.alias(copies)).filter(F.col(copies) > 0)
+    copied = counted.select(*own, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias("replica"))
     keyed = copied.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("replica").cast("string"), F.lit("order")).cast("binary")))
     return keyed.repartition("order_key").sortWithinPartitions("order_key")
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+from collections import Counter
 from itertools import groupby
 
 import numpy as np
@@ -30,7 +31,6 @@ BLOCK = 256
 STEP = 10
 BUFFERED = 1_500_000
 HEAVY_FROM, HEAVY_MOST = 8, 400_000
-BROADCAST_BYTES = 32 << 20
 
 
 def need(size: int, percent: int) -> int:
@@ -46,38 +46,44 @@ def least_shared(size: int) -> int:
     return 1 + size // STEP
 
 
-def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int, mu: float = 0.0085) -> list[int]:
+class Lists:
+    """Inverted lists of some sets (sorted distinct values each), made once and searched by any number of queries."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(flat, kind="stable")
+        self.values, self.members = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def search(self, query: np.ndarray, percent: int, mu: float = 0.0085) -> np.ndarray:
+        """Places of the sets that link with query: short lists are heap-merged, and what they leave possible is looked up
+        in the long ones by binary search."""
+        size = len(query)
+        starts, ends = np.searchsorted(self.values, query, "left"), np.searchsorted(self.values, query, "right")
+        lengths = ends - starts
+        if not size or not lengths.any():
+            return np.zeros(0, np.int64)
+        least = need(size, percent)
+        n_long = min(least - 1, int(least / (mu * math.log2(max(2, int(lengths.max()))) + 1)))
+        by_length = np.argsort(lengths, kind="stable")
+        short, long = by_length[: size - n_long], by_length[size - n_long :]
+        merged = heapq.merge(*(self.members[starts[i] : ends[i]].tolist() for i in short if lengths[i]))
+        counted = [(m, c) for m, c in ((m, sum(1 for _ in run)) for m, run in groupby(merged)) if c >= least - n_long]
+        if not counted:
+            return np.zeros(0, np.int64)
+        found, count = np.array([m for m, _ in counted]), np.array([c for _, c in counted])
+        fits = 100 * np.minimum(self.sizes[found], size) >= percent * np.maximum(self.sizes[found], size)
+        found, count = found[fits], count[fits]
+        for i in long:
+            own = self.members[starts[i] : ends[i]]
+            if len(own):
+                count = count + (own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found)
+        return found[100 * count >= percent * (size + self.sizes[found] - count)]
+
+
+def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
     """Places in sets of those that link with query. Both hold sorted distinct values."""
-    size = len(query)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    fits = np.flatnonzero(100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
-    if not size or not len(fits):
-        return []
-    flat, owner = np.concatenate([sets[i] for i in fits]), np.repeat(np.arange(len(fits)), sizes[fits])
-    at = np.minimum(np.searchsorted(query, flat), size - 1)
-    hit = query[at] == flat
-    order = np.argsort(at[hit], kind="stable")
-    lists, members = at[hit][order], owner[hit][order]
-    lengths = np.bincount(lists, minlength=size)
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    least = need(size, percent)
-    longest = max(2, int(lengths.max(initial=0)))
-    n_long = min(least - 1, int(least / (mu * math.log2(longest) + 1)))
-    by_length = np.argsort(lengths, kind="stable")
-    short, long = by_length[: size - n_long], by_length[size - n_long :]
-    merged = heapq.merge(*(members[starts[i] : starts[i + 1]].tolist() for i in short if lengths[i]))
-    counted = [(m, sum(1 for _ in run)) for m, run in groupby(merged)]
-    counted = [(m, c) for m, c in counted if c >= least - n_long]
-    if not counted:
-        return []
-    found, count = np.array([m for m, _ in counted]), np.array([c for _, c in counted])
-    width = len(fits) + 1
-    keys = lists * width + members
-    probes = np.sort(long)[:, None] * width + found
-    place = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
-    count = count + (keys[place] == probes).sum(axis=0)
-    total = size + sizes[fits[found]] - count
-    return fits[found[100 * count >= percent * total]].tolist()
+    return Lists(sets).search(query, percent).tolist()
 
 
 def _document_sets(batch: pa.RecordBatch, k: int):
@@ -91,7 +97,7 @@ def _document_sets(batch: pa.RecordBatch, k: int):
 
 def _summaries(documents: DataFrame, k: int) -> DataFrame:
     """A row for each document (size, fingerprint), and rows of the shingles seen twice or more by one task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("mark", pa.binary()), ("frequent", pa.list_(pa.int64())), ("seen", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("mark", pa.binary()), ("frequent", pa.list_(pa.int64())), ("seen", pa.list_(pa.int32()))])
 
     def run(batches):
         held, marks, amount = [], set(), 0
@@ -99,7 +105,7 @@ def _summaries(documents: DataFrame, k: int) -> DataFrame:
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             twice = counts >= 2
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([values[twice].view(np.int64)], pa.list_(pa.int64())), pa.array([counts[twice].astype(np.int32)], pa.list_(pa.int32()))], schema=schema)
+            return pa.RecordBatch.from_arrays([*(pa.array([None], pa.int64()) for _ in range(3)), pa.array([None], pa.binary()), pa.array([values[twice].view(np.int64)], pa.list_(pa.int64())), pa.array([counts[twice].astype(np.int32)], pa.list_(pa.int32()))], schema=schema)
 
         for batch in batches:
             sizes, fingerprints = [], []
@@ -115,21 +121,21 @@ def _summaries(documents: DataFrame, k: int) -> DataFrame:
                     yield flush()
                     held, marks, amount = [], set(), 0
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fingerprints, pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(fingerprints, pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int32()))], schema=schema)
         if held:
             yield flush()
 
-    return documents.mapInArrow(run, "doc_id long, n_shingles long, mark binary, frequent array<long>, seen array<int>")
+    return documents.mapInArrow(run, "doc_id long, row_key long, n_shingles long, mark binary, frequent array<long>, seen array<int>")
 
 
 def _prefixes(documents: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     """The short lists that each document posts to: its rarest shingles, first the n_light outside the heavy table."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("post", pa.list_(pa.int64())), ("n_light", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("post", pa.list_(pa.int64())), ("n_light", pa.int32())])
 
     def run(batches):
         keys, weights = heavy.value
         for batch in batches:
-            ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [])
+            ids, out = batch.column("key").to_pylist(), ([], [], [], [])
             for row, values in _document_sets(batch, k):
                 n = len(values)
                 if not n:
@@ -145,7 +151,7 @@ def _prefixes(documents: DataFrame, k: int, percent: int, heavy) -> DataFrame:
                     x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, schema.types, strict=True)], schema=schema)
 
-    return documents.mapInArrow(run, "doc_id long, n int, post array<long>, n_light int")
+    return documents.mapInArrow(run, "key long, n int, post array<long>, n_light int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def components(edges: DataFrame) -> DataFrame:
         jump = label.select(F.col("x").alias("mid"), F.col("label").alias("far"))
         step = kit.cut(spread.join(jump, "mid", "left").select("x", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
         if step.filter("label <> old").isEmpty():
-            return step.select(F.col("x").alias("doc_id"), "label")
+            return step.select(F.col("x").alias("key"), "label")
         label = step.select("x", "label")
 
 
@@ -166,26 +172,36 @@ def _star_members(pairs: DataFrame) -> DataFrame:
     """Tasks of the stars: each x is a query against its y, BLOCK or so at a time."""
     sizes = pairs.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_index"))
     dealt = pairs.join(sizes, "x")
-    queries = sizes.select(F.col("x").alias("lot"), F.lit(0).alias("q"), F.explode(F.sequence(F.lit(0), F.col("n_index") - 1)).alias("i"), F.lit(0).alias("role"), F.col("x").alias("doc_id"), F.col("x").alias("part"))
-    index = dealt.select(F.col("x").alias("lot"), F.lit(0).alias("q"), F.pmod(F.xxhash64("y"), "n_index").cast("int").alias("i"), F.lit(1).alias("role"), F.col("y").alias("doc_id"), F.col("y").alias("part"))
+    queries = sizes.select(F.col("x").alias("lot"), F.lit(0).alias("q"), F.explode(F.sequence(F.lit(0), F.col("n_index") - 1)).alias("i"), F.lit(0).alias("role"), F.col("x").alias("key"), F.col("x").alias("part"))
+    index = dealt.select(F.col("x").alias("lot"), F.lit(0).alias("q"), F.pmod(F.xxhash64("y"), "n_index").cast("int").alias("i"), F.lit(1).alias("role"), F.col("y").alias("key"), F.col("y").alias("part"))
     return queries.unionByName(index)
 
 
 def _block_members(rest: DataFrame) -> DataFrame:
-    """Tasks of what is left (lot, doc_id, part): of each lot, documents outside its largest component are queries against
+    """Tasks of what is left (lot, key, part): of each lot, documents outside its largest component are queries against
     all its documents. Both are dealt into blocks of about BLOCK by hash; each pair of blocks is a task."""
     sizes = rest.groupBy("lot", "part").count().groupBy("lot").agg(F.sum("count").alias("all"), F.max_by("part", F.struct("count", "part")).alias("main"), F.max("count").alias("most"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     dealt = rest.join(sizes, "lot").withColumns({"n_index": blocks(F.col("all")), "n_query": blocks(F.col("all") - F.col("most"))}).filter("n_query > 0")
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    queries = dealt.filter("part <> main").select("lot", own("n_query").alias("q"), every("n_index").alias("i"), F.lit(0).alias("role"), "doc_id", "part")
-    index = dealt.select("lot", every("n_query").alias("q"), own("n_index").alias("i"), F.lit(1).alias("role"), "doc_id", "part")
+    queries = dealt.filter("part <> main").select("lot", own("n_query").alias("q"), every("n_index").alias("i"), F.lit(0).alias("role"), "key", "part")
+    index = dealt.select("lot", every("n_query").alias("q"), own("n_index").alias("i"), F.lit(1).alias("role"), "key", "part")
+    return queries.unionByName(index)
+
+
+def _component_members(parts: DataFrame) -> DataFrame:
+    """Tasks that count links: the sets of a component of three or more in blocks of about BLOCK by hash. Each pair of
+    blocks q <= i is a task; those of q are queries against those of i."""
+    sizes = parts.groupBy("label").count().filter("count > 2").select("label", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
+    dealt = parts.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("key"), F.col("n")).cast("int"))
+    queries = dealt.select(F.col("label").alias("lot"), F.col("own").alias("q"), F.explode(F.expr("sequence(own, n - 1)")).alias("i"), F.lit(0).alias("role"), "key", F.col("label").alias("part"))
+    index = dealt.select(F.col("label").alias("lot"), F.explode(F.expr("sequence(0, own)")).alias("q"), F.col("own").alias("i"), F.lit(1).alias("role"), "key", F.col("label").alias("part"))
     return queries.unionByName(index)
 
 
 def _links_of(queries: list, index: list, percent: int) -> list[tuple[int, int]]:
-    """Links (doc_id, doc_id) that unite components, of queries against index, both rows (doc_id, part, set)."""
+    """Links (key, key) that unite components, of queries against index, both rows (key, part, set)."""
     above: dict[int, int] = {}
 
     def top(v):
@@ -193,109 +209,142 @@ def _links_of(queries: list, index: list, percent: int) -> list[tuple[int, int]]
             v = above[v]
         return v
 
-    out = []
+    out, lists = [], Lists([row[2] for row in index])
     for x, part, values in queries:
-        other = [row for row in index if top(row[1]) != top(part)]
-        for i in t_occurrence(values, [row[2] for row in other], percent):
-            a, b = top(other[i][1]), top(part)
+        if all(top(row[1]) == top(part) for row in index):
+            continue
+        for i in lists.search(values, percent).tolist():
+            a, b = top(index[i][1]), top(part)
             if a != b:
                 above[a] = b
-                out.append((x, other[i][0]))
+                out.append((x, index[i][0]))
     return out
 
 
-def _searched(members: DataFrame, documents: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (x, y) within each task (lot, q, i) of members. The texts' sets are made once members are known, so only
-    those are shuffled, once for each task that needs them."""
-    members = kit.cut(members.withColumnRenamed("doc_id", "_id"))
-    if members.count() * 48 <= BROADCAST_BYTES:
-        members = F.broadcast(members)
-    wanted = documents.join(members, F.col("doc_id") == F.col("_id")).select("lot", "q", "i", "role", "doc_id", "part", "text")
-    names = ["lot", "q", "i", "role", "doc_id", "part"]
-    found = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+def _degrees_of(queries: list, index: list, percent: int) -> list[tuple[int, int]]:
+    """(key, number of links) of queries with index. Sets of one block, which are both, count at the query alone."""
+    counts: Counter = Counter()
+    lists, within = Lists([row[2] for row in index]), {row[0] for row in queries} & {row[0] for row in index}
+    for x, _, values in queries:
+        for i in lists.search(values, percent).tolist():
+            if index[i][0] != x:
+                counts[x] += 1
+                if not within:
+                    counts[index[i][0]] += 1
+    return list(counts.items())
+
+
+def _searched(members: DataFrame, documents: DataFrame, k: int, percent: int, found) -> DataFrame:
+    """Pairs (x, y) of longs that found(queries, index, percent) gives within each task (lot, q, i) of members. The texts'
+    sets are made once members are known, so only those are shuffled, once for each task that needs them."""
+    members = kit.few(kit.cut(members.withColumnRenamed("key", "_key")), 48)
+    wanted = documents.join(members, F.col("key") == F.col("_key")).select("lot", "q", "i", "role", "key", "part", "text")
+    names = ["lot", "q", "i", "role", "key", "part"]
+    pairs = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def sets(batches):
         for batch in batches:
             values = pa.array([v.view(np.int64) for _, v in _document_sets(batch, k)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], names=[*names, "shingles"])
 
+    def of_task(held):
+        distinct = [list({row[0]: row for row in rows}.values()) for rows in held]  # rows that repeat are one
+        return found(*distinct, percent) if all(distinct) else []
+
     def search(batches):
-        key, held = None, ([], [])
+        task, held = None, ([], [])
         for batch in batches:
-            lot, q, i, role, ids, parts = (batch.column(c).to_pylist() for c in names)
+            lot, q, i, role, keys, parts = (batch.column(c).to_pylist() for c in names)
             column, out = batch.column("shingles"), []
             flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
             for r in range(batch.num_rows):
-                if (own := (lot[r], q[r], i[r])) != key:
-                    out += _links_of(*held, percent)
-                    key, held = own, ([], [])
-                held[role[r]].append((ids[r], parts[r], flat[at[r] : at[r + 1]].copy()))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=found)
-        rest = _links_of(*held, percent)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rest], pa.int64()), pa.array([y for _, y in rest], pa.int64())], schema=found)
+                if (own := (lot[r], q[r], i[r])) != task:
+                    out += of_task(held)
+                    task, held = own, ([], [])
+                held[role[r]].append((keys[r], parts[r], flat[at[r] : at[r + 1]].copy()))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], schema=pairs)
+        rest = of_task(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rest], pa.int64()), pa.array([y for _, y in rest], pa.int64())], schema=pairs)
 
-    made = wanted.mapInArrow(sets, "lot long, q int, i int, role int, doc_id long, part long, shingles array<long>")
-    return made.repartition("lot", "q", "i").sortWithinPartitions("lot", "q", "i").mapInArrow(search, "x long, y long")
+    made = wanted.mapInArrow(sets, "lot long, q int, i int, role int, key long, part long, shingles array<long>")
+    return made.repartition("lot", "q", "i").sortWithinPartitions("lot", "q", "i", "role", "key").mapInArrow(search, "x long, y long")
 
 
-def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """A row for each row of documents(doc_id, text, ...): doc_id, n_shingles, class_id, component_id, n_links.
+def _keyed(df: DataFrame, several: DataFrame) -> DataFrame:
+    """df with key: its doc_id, or its row_key if it has no doc_id or several texts go by that."""
+    flagged = kit.few(several.filter("doc_id is not null").select(F.col("doc_id").alias("_several")), 16)
+    own = F.when(F.col("doc_id").isNull() | F.col("_several").isNotNull(), F.col("row_key")).otherwise(F.col("doc_id"))
+    return df.join(flagged, F.col("doc_id") == F.col("_several"), "left").withColumn("key", own).drop("_several")
+
 
-    class_id is the smallest doc_id with the same set; n_links counts the verified links of the class that the search
-    kept (a spanning set of them). Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. A text of fewer than k words is
-    one shingle. Null and empty texts have size 0, link with nothing, and are components of their own. Rows that repeat
-    a doc_id, and texts that repeat, are copies of one class. Other columns are ignored; an empty table gives none.
+def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """A row for each row of documents(doc_id, text, ...): doc_id, row_key, n_shingles, class_id, component_id, n_links,
+    group_key.
+
+    Rows of equal sets are one class; class_id is its smallest doc_id, n_links the number of other classes that it links
+    with, component_id the smallest doc_id that links reach, group_key the same for each row of a component and only there
+    (null for empty sets). row_key is xxhash64(doc_id, text). Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. A text
+    of fewer than k words is one shingle. Null and empty texts have size 0, link with nothing, and are components of their
+    own. Rows may repeat a doc_id, with the same or another text, or have none: each belongs where its own text does, and
+    component_id is null where no member has a doc_id. Other columns are ignored; an empty table gives none.
     """
     spark = documents.sparkSession
     kit.small_batches(spark)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    documents = documents.withColumn("row_key", kit.row_key())
     summary = kit.cut(_summaries(documents, k))
-    rows = summary.filter("mark is not null").select("doc_id", "n_shingles", "mark")
+    rows = summary.filter("mark is not null").select("doc_id", "row_key", "n_shingles", "mark")
     lists = summary.filter("mark is null").select(F.explode(F.arrays_zip("frequent", "seen")).alias("s"))
     heavy = lists.groupBy("s.frequent").agg(F.sum("s.seen").alias("n")).filter(F.col("n") >= HEAVY_FROM).orderBy(F.desc("n"), "frequent").limit(HEAVY_MOST).toPandas()
     keys = heavy["frequent"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     table = spark.sparkContext.broadcast((keys[order], heavy["n"].to_numpy(np.int64)[order]))
 
-    classes = rows.filter("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("class_id"))
-    member = kit.cut(rows.join(classes, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")))
-    class_of = member.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    several = kit.cut(rows.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("doc_id is null or a <> b").select("doc_id"))
+    documents, rows = _keyed(documents, several), _keyed(rows, several)
+    classes = rows.filter("n_shingles > 0").groupBy("mark").agg(F.min("key").alias("class_key"), F.min("doc_id").alias("class_id"))
+    member = kit.cut(rows.join(classes, "mark", "left").selectExpr("doc_id", "row_key", "key", "n_shingles", "if(n_shingles > 0, class_key, null) as class_key", "if(n_shingles > 0, class_id, doc_id) as class_id"))
 
-    copies = class_of.filter("doc_id <> class_id")
-    posted = kit.without(_prefixes(documents, k, percent, table), copies).filter("doc_id is not null")
+    copies = kit.cut(member.filter("key <> class_key").select("key").distinct())
+    posted = _prefixes(documents.select("key", "text"), k, percent, table).join(kit.few(copies, 16), "key", "left_anti")
     # A list of the heavy table can hold any part of the rows, so no window takes it whole: each of its members is in a lane
     # of its own and skips the first prunings; its first member and length come of partial aggregates.
-    posts = posted.select("doc_id", "n", "n_light", F.posexplode("post").alias("at", "shingle")).select("shingle", F.expr("if(at >= n_light, doc_id, null)").alias("lane"), "doc_id", "n")
+    posts = posted.select("key", "n", "n_light", F.posexplode("post").alias("at", "shingle")).select("shingle", F.expr("if(at >= n_light, key, null)").alias("lane"), "key", "n")
     by_list = Window.partitionBy("shingle", "lane")
-    several = posts.withColumns({"low": F.min("doc_id").over(by_list), "high": F.max("doc_id").over(by_list)}).filter("lane is not null or low < high").drop("low", "high")
+    several_in = posts.withColumns({"low": F.min("key").over(by_list), "high": F.max("key").over(by_list)}).filter("lane is not null or low < high").drop("low", "high")
     smallest = F.floor((F.col("n") * percent + 99) / 100)  # size of its smallest possible partner
-    enough = F.count("*").over(Window.partitionBy("doc_id")) >= 1 + F.floor(smallest / STEP)
-    hopeful = several.withColumn("enough", enough).filter("enough")
-    shared = hopeful.repartition("shingle", "lane").groupBy("shingle", "lane", "doc_id").agg(F.max("n").alias("n"))
-    near = by_list.orderBy("n", "doc_id")
+    enough = F.count("*").over(Window.partitionBy("key")) >= 1 + F.floor(smallest / STEP)
+    hopeful = several_in.withColumn("enough", enough).filter("enough")
+    shared = hopeful.repartition("shingle", "lane").groupBy("shingle", "lane", "key").agg(F.max("n").alias("n"))
+    near = by_list.orderBy("n", "key")
     beside = lambda c: F.coalesce(F.least("n", c) * 100 >= F.greatest("n", c) * percent, F.lit(False))
     shared = shared.withColumn("fits", F.col("lane").isNotNull() | beside(F.lag("n").over(near)) | beside(F.lead("n").over(near))).filter("fits").withColumn("enough", enough).filter("enough")
-    shared = kit.cut(shared.select("shingle", "doc_id", "n"))
-    lists = shared.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count("*").alias("many")).filter("many > 1")
-    shared = kit.cut(shared.join(lists, "shingle"))
+    shared = kit.cut(shared.select("shingle", "key", "n"))
+    firsts = shared.groupBy("shingle").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("many")).filter("many > 1")
+    shared = kit.cut(shared.join(firsts, "shingle"))
 
     fits = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent
-    pairs = kit.cut(shared.filter(fits & (F.col("doc_id") != F.col("first.doc_id"))).select(F.col("first.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct())
-    links = kit.cut(_searched(_star_members(pairs), documents, k, percent))
+    pairs = kit.cut(shared.filter(fits & (F.col("key") != F.col("first.key"))).select(F.col("first.key").alias("x"), F.col("key").alias("y")).distinct())
+    links = kit.cut(_searched(_star_members(pairs), documents, k, percent, _links_of))
     parts = components(links)
 
-    wide = shared.filter("many > 2").select("shingle", "doc_id")
-    known = kit.cut(wide.join(parts, "doc_id", "left").select("shingle", "doc_id", F.coalesce("label", "doc_id").alias("part")))
+    wide = shared.filter("many > 2").select("shingle", "key")
+    known = kit.cut(wide.join(parts, "key", "left").select("shingle", "key", F.coalesce("label", "key").alias("part")))
     ends = known.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b")
     split = known.join(ends, "shingle")
-    rest = kit.cut(split.select(F.col("a").alias("lot"), "doc_id", "part").distinct())
+    rest = kit.cut(split.select(F.col("a").alias("lot"), "key", "part").distinct())
     if not rest.isEmpty():
-        links = kit.cut(links.union(_searched(_block_members(rest), documents, k, percent)))
+        links = kit.cut(links.union(_searched(_block_members(rest), documents, k, percent, _links_of)))
         parts = components(links)
-    degree = links.select("x").union(links.select("y")).groupBy(F.col("x").alias("class_id")).agg(F.count("*").alias("n_links"))
-    final = member.join(parts.select(F.col("doc_id").alias("class_id"), "label"), "class_id", "left").join(degree, "class_id", "left")
-    return final.select("doc_id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    # All links of a component lie within it, so they are counted there, and none is sent as a pair.
+    counted = _searched(_component_members(parts), documents, k, percent, _degrees_of).groupBy(F.col("x").alias("key")).agg(F.sum("y").alias("n_links"))
+    linked = parts.join(classes.select(F.col("class_key").alias("key"), "class_id"), "key").join(counted, "key", "left")
+    lowest = linked.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    facts = linked.join(lowest, "label").select(F.col("key").alias("class_key"), "component_id", F.col("label").alias("group_key"), F.coalesce("n_links", F.lit(1)).alias("n_links"))
+    final = member.join(facts, "class_key", "left")
+    return final.select("doc_id", "row_key", "n_shingles", "class_id", F.expr("if(group_key is null, class_id, component_id)").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_key", "class_key").alias("group_key"))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_join(kit.table(spark, sf_dir, "documents"))
+    return ngram_join(kit.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "class_id", "component_id", "n_links")

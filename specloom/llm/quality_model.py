@@ -163,10 +163,14 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 1500, rate: float = 3e-3, d
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, Network]:
-    """Vectors and network from the texts and labels of about rows labelled documents outside the held-out bucket."""
+    """Vectors and network from the texts and labels of about rows labelled documents outside the held-out bucket.
+
+    Rows without a label, an id or a text of theirs teach nothing; of several labels of an id the largest counts, of several
+    texts one by hash. Without any, all texts score 0.5. Other columns are ignored.
+    """
     kit.small_batches(documents.sparkSession)
     chosen = kit.labelled_sample(labels, "quality", 3, 1, rows)
-    sample = kit.cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]))
+    sample = kit.cut(kit.one_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "label"))
     vectors = word_vectors(sample)
     shared = documents.sparkSession.sparkContext.broadcast(vectors)
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("x", pa.list_(pa.float32()))])
@@ -181,18 +185,22 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tupl
     return vectors, train(x, made["label"].to_numpy(np.float64))
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, Network]) -> DataFrame:
-    """All columns of documents and quality_score (instead of one of that name). Null texts score as empty ones; each row is scored by its text alone."""
+def score(documents: DataFrame, model: tuple[np.ndarray, Network], name: str = "quality_score") -> DataFrame:
+    """All columns of documents and the score, which takes the place of a column of its name.
+
+    Null texts score as empty ones. Each row is scored by its text alone, so repeated rows and ids are scored alike, ties
+    too; an empty table gives none.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kit.small_batches(documents.sparkSession)
-    documents = documents.drop("quality_score")
-    schema = T.StructType([*documents.schema.fields, T.StructField("quality_score", T.DoubleType())])
+    documents = documents.drop(name)
+    schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
         vectors, net = shared.value
         for batch in batches:
             parts = [net.probability(features(batch.column("text").slice(a, 512), vectors)) for a in range(0, batch.num_rows, 512)]
-            yield batch.append_column("quality_score", pa.array(np.concatenate(parts) if parts else np.zeros(0)))
+            yield batch.append_column(name, pa.array(np.concatenate(parts) if parts else np.zeros(0)))
 
     return documents.mapInArrow(run, schema)
 

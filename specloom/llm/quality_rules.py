@@ -7,6 +7,7 @@ mask is set. Applying another policy or leaving a rule out reads the ledger, nev
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,27 +55,50 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), count))
 
 
-def measure(documents: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """The columns in keep and the measurements that rules read, all long; null and empty texts measure 0.
+MEASURES = {"n_words": "w.n", "word_chars": "c", "n_symbols": "s", "n_lines": "l.n", "n_dup_lines": "l.d", "n_repeat_words": "w.r"}
 
-    Windows are compared by 64-bit hashes of their words within one text.
+
+def measured(documents: DataFrame, name: str) -> DataFrame:
+    """documents with their measurements, all long, in a struct column of that name; null and empty texts measure 0.
+
+    Windows are compared by 64-bit hashes of their words within one text. Each row is measured by its own text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     of_words = let(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w).alias("r")))
     of_lines = let(F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)), lambda a: F.struct(F.size(a).alias("n"), (F.size(a) - F.size(F.array_distinct(a))).alias("d")))
-    taken = documents.select(*keep, F.explode(F.array(F.struct(of_words.alias("w"), of_lines.alias("l"), F.length(F.regexp_replace(text, GAP, "")).alias("c"), F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).alias("s")))).alias("m"))
-    named = {"n_words": "m.w.n", "word_chars": "m.c", "n_symbols": "m.s", "n_lines": "m.l.n", "n_dup_lines": "m.l.d", "n_repeat_words": "m.w.r"}
-    return taken.select(*keep, *(F.col(c).cast("long").alias(name) for name, c in named.items()))
+    made = F.struct(of_words.alias("w"), of_lines.alias("l"), F.length(F.regexp_replace(text, GAP, "")).alias("c"), F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).alias("s"))
+    taken = documents.select("*", F.explode(F.array(made)).alias(name))  # the generator keeps it from being measured again for each use
+    return taken.withColumn(name, F.struct(*(F.col(f"{name}.{c}").cast("long").alias(n) for n, c in MEASURES.items())))
+
+
+def fail_bits(name: str) -> Column:
+    """Bits of the rules that the measurements in the struct column of that name fail."""
+    failing = lambda text: F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"`{name}`.\1", text))
+    bits = [F.when(failing(condition), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, condition) in enumerate(RULES)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def ledger(documents: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """A row for each row of documents(doc_id, text, ...): keep, measurements and fail_bits. Other columns are ignored; repeated rows give repeated rows."""
-    bits = [F.when(F.expr(failing), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, failing) in enumerate(RULES)]
-    return measure(documents, keep).withColumn("fail_bits", reduce(lambda a, b: a.bitwiseOR(b), bits))
+    """A row for each row of documents(doc_id, text, ...): keep, measurements and fail_bits.
+
+    Other columns are ignored; of keep, a column named as a measurement or fail_bits gives way to the ledger's own.
+    Repeated rows give repeated rows, an empty table none.
+    """
+    name = kit.fresh(documents, "ledger")
+    own = [*MEASURES, "fail_bits"]
+    kept = [c for c in keep if c.lower() not in own]
+    return measured(documents, name).select(*kept, f"{name}.*", fail_bits(name).alias("fail_bits"))
+
+
+def passing(documents: DataFrame, version: int) -> DataFrame:
+    """The rows of documents, with their own columns only and whatever these are called, that pass a policy."""
+    name = kit.fresh(documents, "ledger")
+    return measured(documents, name).filter(passes(version, fail_bits(name))).select(*documents.columns)
 
 
-def passes(version: int) -> Column:
-    return F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[version])).cast("long")) == 0
+def passes(version: int, bits: Column | str = "fail_bits") -> Column:
+    bits = F.col(bits) if isinstance(bits, str) else bits
+    return bits.bitwiseAND(F.lit(mask(POLICIES[version])).cast("long")) == 0
 
 
 def ablation(made: DataFrame, policies=POLICIES) -> DataFrame:

@@ -83,10 +83,14 @@ def train(terms: np.ndarray, documents: list[np.ndarray], y: np.ndarray, steps:
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
-    """Learns from the texts and labels of about rows labelled documents outside the held-out bucket."""
+    """Learns from the texts and labels of about rows labelled documents outside the held-out bucket.
+
+    Rows without a label, an id or a text of theirs teach nothing; of several labels of an id the largest counts, of several
+    texts one by hash. Without any, all texts score 0.5. Other columns are ignored.
+    """
     kit.small_batches(documents.sparkSession)
     chosen = kit.labelled_sample(labels, "toxic", 5, 0, rows)
-    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = kit.one_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "label")
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("ids", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -105,7 +109,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Mach
 
 
 def score(documents: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id and score of each row. Null texts score as empty ones; each row is scored by its text alone."""
+    """doc_id and score of each row. Null texts score as empty ones. Each row is scored by its text alone, so repeated rows
+    and ids are scored alike, ties too; an empty table gives none."""
     shared = documents.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
