@@ -10,9 +10,9 @@ from specloom.llm.ngram_join import op5_ngram_jaccard_join
 from specloom.llm.quality_model import op6_quality_classifier
 from specloom.llm.quality_rules import OP1_SQL, op1_quality_rules
 from specloom.llm.toxicity import op10_toxicity
-from specloom.llm.url_filter import op7_url_filter
+from specloom.llm.url_filter import OP7_SQL, op7_url_filter
 from specloom.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, op4_benchmark_decontamination, op5_ngram_jaccard_join, op6_quality_classifier, op7_url_filter, op8_source_mixing, op9_warc, op10_toxicity)}
 
-SQL = {"op1_quality_rules": OP1_SQL, "op3_license_scan": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op8_source_mixing": OP8_SQL, "op9_warc": OP9_SQL}
+SQL = {"op1_quality_rules": OP1_SQL, "op3_license_scan": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op7_url_filter": OP7_SQL, "op8_source_mixing": OP8_SQL, "op9_warc": OP9_SQL}

@@ -79,25 +79,52 @@ def _filed(rules: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def url_filter(pages: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, listing=LISTED) -> DataFrame:
-    """A row for each row of pages(page_id, url, ...): host, path, rule, verdict, learned_rule (tokens of the rule used).
+    """A row for each row of pages(page_id, url, ...): page_id, host, path, rule, verdict, learned_rule (tokens of the rule used).
 
     A null url or one without :// has empty host and path, no tokens, and is allowed unless a listed rule fits. Of
     several learned rules the most confident decides, then the best supported, the shortest, the first in order of text.
-    Without any, the verdict is allow. Rows that repeat a page_id with another url are judged by the url alone. An empty
-    table gives none; other columns are ignored.
+    Without any, the verdict is allow. Each row is judged by its own url, whatever its page_id. An empty table gives none;
+    other columns are ignored.
     """
-    spark = pages.sparkSession
     rule, verdict = listed(listing)
     url = F.col("url")
     parsed = pages.select("page_id", "url", host(url).alias("host"), path(url).alias("path"))
-    judged = parsed.select("*", rule.alias("rule"), verdict.alias("verdict"), F.when(url.contains("://"), tokens(url)).otherwise(F.array().cast("array<string>")).alias("tokens"))
+    judged = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.when(url.contains("://"), tokens(url)).otherwise(F.array().cast("array<string>")).alias("tokens"))
     learned = kit.cut(prune(mine(judged.select("tokens", "verdict").filter("verdict is not null"), support, confidence)))
-    index = _filed(learned, judged.select(F.explode("tokens").alias("token"))).select("token", "rule_tokens", "learned", "place")
-    open_ = judged.filter("verdict is null").select("url", "tokens").distinct()
-    tested = open_.select("url", "tokens", F.explode("tokens").alias("token")).join(F.broadcast(index), "token").filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-    found = tested.groupBy("url").agg(F.min_by(F.struct("learned", F.array_join("rule_tokens", " ").alias("name")), "place").alias("best"))
-    return judged.join(found, "url", "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", "best.learned", F.lit("allow")).alias("verdict"), F.when(F.col("verdict").isNull(), F.col("best.name")).alias("learned_rule"))
+    index = _filed(learned, judged.select(F.explode("tokens").alias("token"))).select(F.col("token").alias("filed"), "rule_tokens", "learned", "place")
+    # Rows are told apart by a number of their own; of each, its first token stays even if no rule is filed there.
+    each = judged.withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(F.when(F.col("verdict").isNull(), F.col("tokens"))).alias("at", "token"))
+    fits = (F.col("token") == F.col("filed")) & (F.size(F.array_except("rule_tokens", "tokens")) == 0)
+    tested = each.join(kit.few(index, 256), fits, "left").filter("filed is not null or coalesce(at, 0) = 0")
+    found = tested.groupBy("row", "page_id", "host", "path", "rule", "verdict").agg(F.min_by(F.struct("learned", F.array_join("rule_tokens", " ").alias("name")), "place").alias("best"))
+    return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", "best.learned", F.lit("allow")).alias("verdict"), F.col("best.name").alias("learned_rule"))
 
 
 def op7_url_filter(spark, sf_dir: str) -> DataFrame:
     return url_filter(kit.table(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    """All subsets of each page's tokens, counted: every rule by brute force, without growth, pruning or index."""
+    order = sorted(LISTED, key=lambda r: -len(r[0] + r[1]))
+    case = lambda of: " ".join(f"WHEN (host = '{h}' OR suffix(host, '.{h}')) AND starts_with(path, '{p}') THEN '{of((h, p, v))}'" for h, p, v in order)
+    tagged = lambda tag, a: f"list_transform(list_filter({a}, lambda x: x <> ''), lambda x: '{tag}:' || x)"
+    parts = [
+        tagged("scheme", "[lower(regexp_extract(url, '(?s)^(.*?)://', 1))]"), tagged("host", "string_split(host, '.')"), tagged("path", "list_transform(string_split(path, '/'), lambda x: regexp_replace(x, '[0-9]+', '#', 'g'))"),
+        tagged("key", "list_transform(string_split(regexp_extract(url, '(?s)\\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1))"), tagged("part", "[regexp_extract(url, '(?s)#(.+)$', 1)]"),
+    ]
+    return rf"""
+WITH p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+j AS (SELECT page_id, url, host, path, CASE {case(lambda r: r[0] + r[1])} END AS rule, CASE {case(lambda r: r[2])} END AS listed, CASE WHEN contains(url, '://') THEN list_sort(list_distinct(flatten([{', '.join(parts)}]))) ELSE [] END AS tokens FROM p),
+known AS (SELECT listed, list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS part FROM j, unnest(range(1, (1 << len(tokens))::BIGINT)) AS r(m) WHERE listed IS NOT NULL),
+n AS (SELECT count(*) AS n FROM j WHERE listed IS NOT NULL),
+rules AS (SELECT part, listed AS learned, c / sum(c) OVER (PARTITION BY part) AS confidence, c / n AS support, c, n FROM (SELECT part, listed, count(*) AS c FROM known GROUP BY ALL), n),
+good AS (SELECT *, array_to_string(part, ' ') AS name FROM rules WHERE c >= ceil({SUPPORT} * n) AND confidence >= {CONFIDENCE}),
+open_ AS (SELECT DISTINCT url, tokens FROM j WHERE listed IS NULL),
+own AS (SELECT url, list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1) AS part FROM open_, unnest(range(1, (1 << len(tokens))::BIGINT)) AS r(m)),
+best AS (SELECT url, learned, name FROM own JOIN good USING (part) QUALIFY row_number() OVER (PARTITION BY url ORDER BY confidence DESC, support DESC, len(part), name, learned) = 1)
+SELECT page_id, host, path, rule, coalesce(listed, learned, 'allow') AS verdict, CASE WHEN listed IS NULL THEN name END AS learned_rule FROM j LEFT JOIN best USING (url)
+"""
+
+
+OP7_SQL = _sql()

@@ -179,3 +179,21 @@ def test_network_by_plain_loops():
         hidden = [max(0.0, sum(a * w for a, w in zip(z, net.w1[:, h], strict=True)) + net.b1[h]) for h in range(quality_model.HIDDEN)]
         logit = (sum(a * w for a, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature
         assert got == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-6)
+
+
+def test_rules_by_brute_force(spark):
+    """All token sets of random pages, counted by loops."""
+    from itertools import combinations
+
+    random.seed(12)
+    rows = [(sorted(random.sample("abcdef", random.randint(1, 5))), random.choice(["allow", "block", "block"])) for _ in range(60)]
+    want = {}
+    for size in range(1, 6):
+        for part in combinations("abcdef", size):
+            held = [v for t, v in rows if set(part) <= set(t)]
+            for verdict in ("allow", "block"):
+                n = held.count(verdict)
+                if n >= 3 and n / len(held) >= 0.7:
+                    want[part, verdict] = (n / len(held), n / 60)
+    got = {(tuple(r.rule_tokens), r.learned): (r.confidence, r.support) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 3 / 60, 0.7).collect()}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
