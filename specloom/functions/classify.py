@@ -95,14 +95,17 @@ def has_trailing_quantity(line: Column) -> Column:
     return line.rlike(TRAILING[0]) | line.rlike(TRAILING[1])
 
 
-def section_title(line: Column) -> Column:
+def title_of_clean(own: Column) -> Column:
     """Title of a numbered heading, or a line in capitals; null for others and for lines that end in a quantity."""
-    own = clean(line)
     numbered = F.regexp_extract(own, rf"(?iu)^\d{{1,4}}(?:\.\d+){{1,}}{S}+([A-ZÆØÅ0-9][A-ZÆØÅ0-9{SPACES}/.,:&()–-]{{6,160}})$", 1)
     capitals = F.length(own).between(8, 160) & (own == F.upper(own)) & own.rlike("[A-ZÆØÅ]{3}")
     return F.when(~has_trailing_quantity(own), F.when(numbered != "", trim(numbered)).when(capitals, own))
 
 
+def section_title(line: Column) -> Column:
+    return F.get(F.transform(F.array(clean(line)), title_of_clean), 0)
+
+
 def review_flags(kind: Column, description: Column, dimension: Column, post: Column, quantity: Column, unit: Column) -> Column:
     empty = lambda c: F.coalesce(c == "", F.lit(True))
     flags = F.array_compact(F.array(
@@ -133,6 +136,3 @@ def badge(score: Column, flags: Column, kind: Column, missing_dimension: Column,
 def bucket(score: Column) -> Column:
     return F.when(score >= 94, "high").when(score >= 90, "medium").otherwise("low")
 
-
-def first_line(lines: Column, pattern: str) -> Column:
-    return first(F.filter(lines, lambda x: x.rlike(pattern)))

@@ -17,6 +17,7 @@ from specloom.functions import classify
 from specloom.functions.numbers import UNITS
 from specloom.functions.text import MISREAD, SPACES, S
 
+# The row grammar of the specifications, in the order in which its forms are tried.
 _A = re.ASCII | re.IGNORECASE
 _WORD = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 _Q, _U, _D = classify.QUANTITY, classify.UNIT, classify.DELIMITER
@@ -37,13 +38,19 @@ _TAIL, _HEAD = re.compile(rf"[-:,{SPACES}]+$"), re.compile(rf"^[-:,{SPACES}]+")
 _MEASURE = re.compile(rf"^\d+(?:[,.]\d+)?{S}*(?:bar|kpa|mpa|pa|c|°c)$", _A)
 _TOTAL = re.compile(rf"^(?:sum|subtotal|total|side|page|kapittel|chapter){_WORD}", _A)
 _MATERIAL = re.compile("|".join([classify.MATERIAL_WORDS, *(re.sub(r"^\(\?iu?\)", "", p).replace("(?:Ø|OD)", "(?:Ø|ø|OD)") for p in classify.DIMENSIONS)]), _A)
+# End of the fixed values.
+
 _SPACE, _BLANKS = re.compile(S), re.compile(rf"{S}{{2,}}")
+_DASHES, _BARS, _TABS = re.compile("[–—]"), re.compile(r"[|\t]+"), re.compile("[ \t]+")
+
+ROW = "struct<text:string,source_text:string,method:string,start_idx:int,end_idx:int,description:string,quantity_text:string,quantity:double,unit:string,post_number:string,code:string,near_title:string>"
+
 
-RESULT = "array<struct<text:string,source_text:string,method:string,start_idx:int,end_idx:int,description:string,quantity_text:string,quantity:double,unit:string,post_number:string,code:string>>"
+_SPACE_CHARS = "".join(c for c in map(chr, range(0x10000)) if _SPACE.match(c))
 
 
 def _strip(text: str) -> str:
-    return re.sub(rf"^{S}+|{S}+$", "", text)
+    return text.strip(_SPACE_CHARS)
 
 
 def number(text: str) -> float | None:
@@ -66,8 +73,8 @@ def _unit(text: str) -> str:
 def clean_line(text: str) -> str:
     for bad, good in MISREAD:
         text = text.replace(bad, good)
-    text = re.sub("[–—]", "-", text)
-    text = _BLANKS.sub(" ", re.sub(r"[|\t]+", " ", _strip(re.sub("[ \t]+", " ", text))))
+    text = _DASHES.sub("-", text)
+    text = _BLANKS.sub(" ", _BARS.sub(" ", _strip(_TABS.sub(" ", text))))
     for label in _LABELS:
         text = label.sub("", text)
     return _strip(text)
@@ -148,10 +155,21 @@ def assemble(text: str | None) -> list[dict]:
     return out
 
 
-def _rows(text: pd.Series) -> pd.Series:
-    return text.map(assemble)
+def titled(text: str | None, titles) -> list[dict]:
+    """Rows of a page, each with the last title at or above its first line; titles has one entry, or None, for each line."""
+    rows, near, at = assemble(text), None, 0
+    for row in rows:
+        while at <= row["start_idx"]:
+            near, at = titles[at] or near, at + 1
+        row["near_title"] = near
+    return rows
+
+
+def _rows(text: pd.Series, titles: pd.Series) -> pd.Series:
+    return pd.Series([titled(*pair) for pair in zip(text, titles, strict=True)])
 
 
-def material_rows(text: Column) -> Column:
-    """Rows of each cleaned page text, as an array of structs."""
-    return F.pandas_udf(_rows, RESULT)(text)
+def material_rows(text: Column, titles: Column) -> Column:
+    """Rows of each cleaned page text, as an array of structs. Not deterministic by name, so that no filter on it is
+    pushed below and runs it again."""
+    return F.pandas_udf(_rows, f"array<{ROW}>").asNondeterministic()(text, titles)

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from specloom.functions import classify as c
 from specloom.functions.text import B, S, clean, first, lines, slug, squeeze, trim
-from specloom.operators.assemble import material_rows
+from specloom.operators.assemble import ROW, material_rows
 
 REQUIREMENTS = (
     ("pressure", rf"(?i){B}\d{{1,3}}(?:[,.]\d+)?{S}*bar{B}", 92), ("property", rf"(?i){B}QR{B}", 92), ("property", rf"(?i){B}K{S}*={S}*(?:80|115){B}", 92),
     ("property", rf"(?i){B}\d{{2,3}}{S}*°{S}*C{B}", 92), ("dimension", rf"(?i){B}DN{S}?\d{{2,3}}{B}", 86),
 )
 
+STANDARD_HIT = f"(?i){B}({c.STANDARD}){B}"
+
 
 def normalize_pages(pages: DataFrame) -> DataFrame:
     number = F.when(F.coalesce("page_number", F.lit(0)) == 0, F.col("page_ord") + 1).otherwise(F.col("page_number"))
@@ -45,7 +47,7 @@ def systems(pages: DataFrame) -> DataFrame:
 
 def standards(pages: DataFrame) -> DataFrame:
     """The first mention of each standard, by normalized code."""
-    hits = pages.select("doc_id", "page_ord", "page_number", "text", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?i){B}({c.STANDARD}){B}"), 1)).alias("pos", "hit"))
+    hits = pages.select("doc_id", "page_ord", "page_number", "text", F.posexplode(F.regexp_extract_all("text", F.lit(STANDARD_HIT), 1)).alias("pos", "hit"))
     code = c.standard_code(F.col("hit"))
     source = F.coalesce(first(F.filter(lines(F.col("text")), lambda x: F.contains(F.lower(x), F.lower("hit")))), code)
     flat = hits.select("doc_id", "page_ord", "pos", F.concat(F.lit("standard-"), slug(code)).alias("id"), code.alias("code"), F.col("page_number").alias("source_page"), source.alias("source_text"), F.lit(96).alias("confidence"))
@@ -61,24 +63,45 @@ def sections(pages: DataFrame) -> DataFrame:
     return kept.select("doc_id", F.concat(F.lit("section-"), number).alias("id"), "title", F.col("page_number").alias("source_page"), F.col("line").alias("source_text"), F.when(F.col("heading").isNotNull(), 78).otherwise(72).alias("confidence"))
 
 
+def _page_entries(pages: DataFrame) -> DataFrame:
+    """doc_id, page_ord, page_number, page_system, a10, code, pos, row_ord, r: what a page states, from one reading of it.
+
+    A row for each standard that the page names (code, place of its first mention), for each material row (row_ord, r), and
+    one with neither where it names the default system.
+    """
+    empty = lambda c: F.lit(None).cast(c)
+    entry = lambda code, pos, row_ord, r: F.struct(code.alias("code"), pos.cast("int").alias("pos"), row_ord.cast("int").alias("row_ord"), r.alias("r"))
+    own = lines(F.col("text"))
+    lined = pages.select("doc_id", "page_ord", "page_number", "text", own.alias("lines"))
+    codes = F.transform(F.regexp_extract_all("text", F.lit(STANDARD_HIT), 1), c.standard_code)
+    read = lined.select(
+        "doc_id", "page_ord", "page_number", F.try_element_at(F.filter(F.transform("lines", c.system_name), lambda x: x.isNotNull()), F.lit(-1)).alias("page_system"),
+        F.col("text").rlike(f"(?iu){dict((k, p) for k, _, p in c.SYSTEMS)['sprinkler-a10']}").alias("a10"), codes.alias("codes"), material_rows(F.col("text"), F.transform(F.transform("lines", clean), c.title_of_clean)).alias("rows"),
+    )
+    named = F.transform(F.array_distinct("codes"), lambda x: entry(x, F.array_position("codes", x), empty("int"), empty(ROW)))
+    items = F.filter(F.transform("rows", lambda r, i: entry(empty("string"), empty("int"), i, r)), lambda e: F.length(e.r.description) >= 3)
+    default = F.when(F.col("a10"), F.array(entry(empty("string"), empty("int"), empty("int"), empty(ROW)))).otherwise(F.array())
+    return read.select("doc_id", "page_ord", "page_number", "page_system", "a10", F.inline(F.concat(named, items, default)))
+
+
 def line_items(pages: DataFrame) -> DataFrame:
     """Material lines, classified and scored, once for each page number, post, description, unit and quantity.
 
-    The page's last system and the nearest title at or above a row come from arrays of the page itself; only the
-    document's standards and systems, a few values each, are joined in.
+    Pages are read once and what they state is dealt by doc_id once; the document's standards and default system then come
+    of windows over it, the nearest title with the row. A document's standards are a few codes, each at its first mention.
     """
-    standard = standards(pages).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_ord", "pos", "code", "source_page"))).alias("standards"))
-    default = systems(pages).filter(F.col("normalized_name") == "sprinkler-a10").select("doc_id", F.lit(c.DEFAULT_SYSTEM).alias("default_system"))
-    paged = pages.withColumn("lines", lines(F.col("text"))).withColumns({"titles": F.transform("lines", c.section_title), "mentions": F.filter(F.transform("lines", c.system_name), lambda x: x.isNotNull()), "rows": material_rows(F.col("text"))})
-    rows = paged.select("doc_id", "page_ord", "page_number", "titles", F.try_element_at("mentions", F.lit(-1)).alias("page_system"), F.posexplode("rows").alias("row_ord", "r")).filter(F.length("r.description") >= 3)
-    title = F.try_element_at(F.filter(F.slice("titles", F.lit(1), F.col("r.start_idx") + 1), lambda x: x.isNotNull()), F.lit(-1))
+    dealt = _page_entries(pages).repartition("doc_id")
+    by_code = Window.partitionBy("doc_id", "code").orderBy("page_ord", "pos")
+    marked = dealt.withColumn("is_first", F.col("code").isNotNull() & (F.row_number().over(by_code) == 1))
+    document = Window.partitionBy("doc_id")
+    mention = F.when(F.col("is_first"), F.struct("page_ord", "pos", "code", F.col("page_number").alias("source_page")))
+    known = marked.select("*", F.array_sort(F.collect_list(mention).over(document)).alias("standards"), F.when(F.max("a10").over(document), c.DEFAULT_SYSTEM).alias("default_system")).filter("r is not null")
     kind, sizes = c.category(F.col("r.description")), c.dimensions(F.col("r.description"))
-    made = rows.select("doc_id", "page_ord", "page_number", "row_ord", "r.*", title.alias("near_title"), kind.alias("category"), sizes.alias("dimensions"), F.coalesce(c.system_name(F.col("r.description")), "page_system").alias("line_system"))
+    made = known.select("doc_id", "page_ord", "page_number", "row_ord", "standards", "default_system", "r.*", kind.alias("category"), sizes.alias("dimensions"), F.coalesce(c.system_name(F.col("r.description")), "page_system").alias("line_system"))
     kept = _keep_first(made, ["doc_id", "page_number", F.coalesce("post_number", F.lit("")), F.lower("description"), "unit", "quantity"], ["page_ord", "row_ord"])
-    joined = kept.join(standard, "doc_id", "left").join(default, "doc_id", "left")
-    every = F.coalesce(F.transform("standards", lambda s: s.code), F.array().cast("array<string>"))
-    own = F.coalesce(F.transform(F.filter("standards", lambda s: s.source_page == F.col("page_number")), lambda s: s.code), F.array().cast("array<string>"))
-    full = joined.withColumns({"standard_refs": F.when(F.size(own) > 0, own).otherwise(every), "dimension": first(F.col("dimensions")), "material": c.material(F.col("description")), "specification_code": F.coalesce("code", c.specification_code(F.col("description"))), "system": F.coalesce("line_system", "default_system")})
+    every = F.transform("standards", lambda s: s.code)
+    own = F.transform(F.filter("standards", lambda s: s.source_page == F.col("page_number")), lambda s: s.code)
+    full = kept.withColumns({"standard_refs": F.when(F.size(own) > 0, own).otherwise(every), "dimension": first(F.col("dimensions")), "material": c.material(F.col("description")), "specification_code": F.coalesce("code", c.specification_code(F.col("description"))), "system": F.coalesce("line_system", "default_system")})
     full = full.withColumn("section_title", F.coalesce("near_title", "line_system", "default_system"))
     full = full.withColumn("review_flags", c.review_flags(*map(F.col, ("category", "description", "dimension", "post_number", "quantity", "unit"))))
     full = full.withColumn("confidence", c.confidence(*map(F.col, ("category", "dimensions", "method", "post_number", "quantity", "unit", "review_flags", "standard_refs"))))
