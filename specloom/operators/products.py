@@ -61,16 +61,18 @@ def temperature_ratings(record: Column) -> Column:
 
 
 def _color_values(v: Column) -> Column:
-    return _colors_in(v, 2)
+    """Colour names in a value: comma text, an object's name or colour, or arrays of these, however deeply nested.
 
+    Each step opens what is left closed by one level, as often as brackets stand in the value.
+    """
+    def open_(x):
+        named = F.coalesce(*(F.when(~_is(_at(x, k), "VOID"), _at(x, k)) for k in ("name", "color", "colour")))
+        return F.when(_is(x, "ARRAY"), _array(x)).when(_is(x, "OBJECT"), F.array(named)).otherwise(F.array(x))
 
-def _colors_in(v: Column, depth: int) -> Column:
-    """Colour names in a value: comma text, an object's name or colour, or arrays of these, nested depth deep."""
-    empty = F.array().cast("array<string>")
-    named = F.coalesce(*(F.when(~_is(_at(v, k), "VOID"), _at(v, k)) for k in ("name", "color", "colour")))
-    text = lambda x: F.when(_is(x, "STRING"), F.filter(F.transform(F.split(x.try_cast("string"), ","), trim), lambda t: t != "")).otherwise(empty)
-    inner = F.flatten(F.transform(_array(v), lambda x: _colors_in(x, depth - 1))) if depth else empty
-    return F.coalesce(F.when(_is(v, "ARRAY"), inner).when(_is(v, "OBJECT"), text(named)).otherwise(text(v)), empty)
+    levels = F.length(F.regexp_replace(F.coalesce(F.to_json(v), F.lit("")), r"[^\[{]", ""))
+    values = F.aggregate(F.sequence(F.lit(0), levels), F.array(v), lambda held, _: F.flatten(F.transform(held, open_)))
+    text = lambda x: F.filter(F.transform(F.split(x.try_cast("string"), ","), trim), lambda t: t != "")
+    return F.flatten(F.transform(F.filter(values, lambda x: _is(x, "STRING")), text))
 
 
 def colors(record: Column) -> Column:
@@ -82,14 +84,14 @@ def colors(record: Column) -> Column:
 def approvals(record: Column, source: Column) -> Column:
     """Names from approvals text, certifications, an approvals array, and an approvals object in the order of its text.
 
-    source is the JSON text that record comes from: VARIANT sorts keys, the text keeps them.
+    source is the JSON text of record's approvals: VARIANT sorts keys, the text keeps them.
     """
     v, empty = _at(record, "approvals"), F.array().cast("array<string>")
     one = lambda x: F.when(_is(x, "OBJECT"), read_text(x, ("agency", "name"))).when(_is(x, "STRING"), blank_to_null(x.try_cast("string")))
     each = lambda a: F.filter(F.transform(_array(a), one), lambda x: x.isNotNull())
     text = F.when(_is(v, "STRING"), F.filter(F.transform(F.split(v.try_cast("string"), ","), trim), lambda x: x != "")).otherwise(empty)
     label = lambda k: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in APPROVAL_KEYS.items() for x in kv)), k), k)
-    entries = F.map_entries(F.from_json(F.get_json_object(source, "$.approvals"), "map<string,string>"))
+    entries = F.map_entries(F.from_json(source, "map<string,string>"))
     keyed = F.flatten(F.transform(entries, lambda e: F.when(e.value == "true", F.array(label(e.key))).when(F.ltrim(e.value).startswith("["), each(F.try_parse_json(e.value))).otherwise(empty)))
     return join_distinct(F.concat(text, each(_at(record, "certifications")), each(v), F.when(_is(v, "OBJECT"), F.coalesce(keyed, empty)).otherwise(empty)))
 
@@ -103,16 +105,18 @@ def normalize(imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     root = imports.select("import_id", "json", F.try_parse_json("json").alias("v"))
     listed = _is(_at(F.col("v"), "products"), "ARRAY") & _is(F.col("v"), "OBJECT")
     items = F.when(listed, _array(_at(F.col("v"), "products"))).when(_is(F.col("v"), "ARRAY"), _array(F.col("v"))).otherwise(F.array("v"))
+    # The items' own texts, cut once, as VARIANT doesn't keep the order of keys.
+    texts = F.when(listed, F.from_json("json", "products array<string>")["products"]).when(_is(F.col("v"), "ARRAY"), F.from_json("json", "array<string>")).otherwise(F.array("json"))
     info = F.when(listed & _is(_at(F.col("v"), "documentInfo"), "OBJECT"), _at(F.col("v"), "documentInfo"))
     bad = root.filter("v is null").select("import_id", F.lit("0").alias("row"), F.lit("Invalid JSON. Import file must contain JSON.").alias("message"))
-    at = F.when(listed, F.concat(F.lit("$.products["), F.col("i"), F.lit("]"))).when(_is(F.col("v"), "ARRAY"), F.concat(F.lit("$["), F.col("i"), F.lit("]"))).otherwise("$")
-    each = root.filter("v is not null").select("import_id", "json", "v", info.alias("info"), F.posexplode(items).alias("i", "item")).select("import_id", "info", "i", "item", F.expr("json").alias("json"), at.alias("at"))
+    each = root.filter("v is not null").select("import_id", info.alias("info"), F.posexplode(F.arrays_zip(items.alias("item"), texts.alias("text"))).alias("i", "s")).select("import_id", "info", "i", "s.item", "s.text")
     wrapped = _is(_at(F.col("item"), "data"), "OBJECT")
-    opened = each.withColumns({"is_object": _is(F.col("item"), "OBJECT"), "data": F.when(wrapped, _at(F.col("item"), "data")).otherwise(F.col("item")), "text": F.expr("get_json_object(json, concat(at, CASE WHEN schema_of_variant(try_variant_get(item, '$.data', 'variant')) LIKE 'OBJECT%' THEN '.data' ELSE '' END))")})
+    own = F.when(wrapped, F.get_json_object("text", "$.data.approvals")).otherwise(F.get_json_object("text", "$.approvals"))
+    opened = each.select("import_id", "info", "i", "item", _is(F.col("item"), "OBJECT").alias("is_object"), F.when(wrapped, _at(F.col("item"), "data")).otherwise(F.col("item")).alias("data"), own.alias("approvals_text"))
     wrong = opened.filter("not is_object").select("import_id", (F.col("i") + 1).cast("string").alias("row"), F.lit("Item is not a JSON object.").alias("message"))
     models = F.filter(F.transform(_array(_at(F.col("data"), "sprinklerModels")), lambda m, j: F.struct(m.alias("m"), j.alias("j"))), lambda s: F.lit(True))
     either = opened.filter("is_object").withColumn("models", models)
-    rows = either.select("import_id", "info", "i", "item", "data", "text", F.explode_outer("models").alias("s")).withColumns({"model": F.col("s.m"), "has_model": F.col("s").isNotNull()})
+    rows = either.select("import_id", "info", "i", "item", "data", "approvals_text", F.explode_outer("models").alias("s")).withColumns({"model": F.col("s.m"), "has_model": F.col("s").isNotNull()})
     not_model = rows.filter(F.col("has_model") & ~_is(F.col("model"), "OBJECT")).select("import_id", F.concat_ws(".", F.col("i") + 1, F.col("s.j") + 1).alias("row"), F.lit("sprinklerModels item is not a JSON object.").alias("message"))
     good = rows.filter(~F.col("has_model") | _is(F.col("model"), "OBJECT"))
     d, m, own = F.col("data"), F.col("model"), F.col("has_model")
@@ -129,7 +133,7 @@ def normalize(imports: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce(read_text(d, DATASHEET), pick(read_text(F.col("item"), ("source_url", "sourceUrl")), F.lit(None))).alias("datasheet_url"),
         pick(read_text(m, ("responseType", "sprinklerResponse")), read_text(d, ("responseType", "sprinklerResponse"))).alias("response_type"),
         pick(read_text(m, ("orientation",)), read_text(d, ("orientation",))).alias("orientation"),
-        approvals(d, F.col("text")).alias("approvals"),
+        approvals(d, F.col("approvals_text")).alias("approvals"),
         F.coalesce(pick(temperature_ratings(m), F.lit(None)), temperature_ratings(d)).alias("temperature_ratings"),
         F.coalesce(pick(colors(m), F.lit(None)), colors(d)).alias("color"), F.col("item").alias("raw_json"),
     )
