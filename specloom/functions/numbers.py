@@ -47,3 +47,9 @@ def ten_times(text: Column) -> Column:
 def js_text(c: Column) -> Column:
     """Text of a VARIANT scalar as its origin prints it: whole doubles without .0."""
     return F.regexp_replace(c.try_cast("string"), r"^(-?\d+)\.0$", "$1")
+
+
+def norwegian(c: Column) -> Column:
+    """A number as shown in Norwegian: no-break spaces between thousands, a comma, two decimals at most."""
+    whole = F.translate(F.format_number(c, 2), ",.", "\u00a0,")
+    return F.when(whole.endswith(",00"), F.left(whole, F.length(whole) - 3)).when(whole.endswith("0"), F.left(whole, F.length(whole) - 1)).otherwise(whole)

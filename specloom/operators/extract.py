@@ -155,3 +155,9 @@ def project(pages: DataFrame) -> DataFrame:
     discipline = F.when(F.concat_ws("\n", F.coalesce("file_name", F.lit("")), "text").rlike("(?i)sprinkler|brann|fire"), "Sprinkler / fire suppression")
     made = head.select("doc_id", named.alias("name"), both(rf"{B}\d{{4}}{B}").alias("project_number"), discipline.alias("discipline"), both(rf"(?i){B}Rev{S}*\d+").alias("revision"), F.col("page_number").alias("source_page"))
     return made.withColumn("confidence", F.when(F.col("project_number").isNotNull() | F.col("revision").isNotNull(), 74).otherwise(46))
+
+
+def summary(pages: DataFrame) -> DataFrame:
+    """Numbers of pages, systems and standards of each document."""
+    counted = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    return counted(pages, "n_pages").join(counted(systems(pages), "n_systems"), "doc_id", "left").join(counted(standards(pages), "n_standards"), "doc_id", "left").na.fill(0)

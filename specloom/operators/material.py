@@ -93,8 +93,11 @@ def detected_categories(df: DataFrame, order: str) -> DataFrame:
     return df.groupBy(canonical(F.col("category")).alias("category")).agg(F.min(order).alias("first_seen"))
 
 
-def group_by_category(df: DataFrame, *columns: str) -> DataFrame:
-    return df.groupBy(canonical(F.col("category")).alias("category")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("items"))
+def group_by_category(df: DataFrame, *order: str) -> DataFrame:
+    """Rows under their report category (group), categories in report order, rows by order within each. A category of any
+    size is a run of sorted rows, not one value."""
+    grouped = df.withColumn("group", canonical(F.col("category")))
+    return grouped.orderBy(F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("group")), *order)
 
 
 def balance(materials: DataFrame) -> DataFrame:
