@@ -46,44 +46,57 @@ def least_shared(size: int) -> int:
     return 1 + size // STEP
 
 
+PROBES = 1 << 20
+
+
 class Lists:
-    """Inverted lists of some sets (sorted distinct values each), made once and searched by any number of queries."""
+    """Inverted lists of some sets (sorted distinct values each), made once and searched by any number of queries, of whose
+    values wanted holds all."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], wanted: np.ndarray):
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        flat, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), self.sizes)
+        if len(wanted):
+            held = wanted[np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1)] == flat
+            flat, owner = flat[held], owner[held]
         order = np.argsort(flat, kind="stable")
-        self.values, self.members = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.values, first = np.unique(flat[order], return_index=True)
+        self.bounds, self.members, self.width = np.append(first, len(flat)), owner[order], len(sets) + 1
+        self.keys = np.repeat(np.arange(len(first)), np.diff(self.bounds)) * self.width + self.members
 
     def search(self, query: np.ndarray, percent: int, mu: float = 0.0085) -> np.ndarray:
         """Places of the sets that link with query: short lists are heap-merged, and what they leave possible is looked up
         in the long ones by binary search."""
-        size = len(query)
-        starts, ends = np.searchsorted(self.values, query, "left"), np.searchsorted(self.values, query, "right")
-        lengths = ends - starts
-        if not size or not lengths.any():
-            return np.zeros(0, np.int64)
+        size, none = len(query), np.zeros(0, np.int64)
+        if not size or not len(self.values):
+            return none
+        at = np.minimum(np.searchsorted(self.values, query), len(self.values) - 1)
+        at = at[self.values[at] == query]  # other values have empty lists
+        starts, ends = self.bounds[at], self.bounds[at + 1]
         least = need(size, percent)
-        n_long = min(least - 1, int(least / (mu * math.log2(max(2, int(lengths.max()))) + 1)))
-        by_length = np.argsort(lengths, kind="stable")
-        short, long = by_length[: size - n_long], by_length[size - n_long :]
-        merged = heapq.merge(*(self.members[starts[i] : ends[i]].tolist() for i in short if lengths[i]))
+        longest = int((ends - starts).max(initial=0))
+        n_long = min(least - 1, int(least / (mu * math.log2(max(2, longest)) + 1)))
+        by_length = np.argsort(ends - starts, kind="stable")
+        n_short = max(0, size - n_long - (size - len(at)))  # the empty lists are the shortest
+        short, long = by_length[:n_short], by_length[n_short:]
+        merged = heapq.merge(*(self.members[starts[i] : ends[i]].tolist() for i in short))
         counted = [(m, c) for m, c in ((m, sum(1 for _ in run)) for m, run in groupby(merged)) if c >= least - n_long]
         if not counted:
-            return np.zeros(0, np.int64)
+            return none
         found, count = np.array([m for m, _ in counted]), np.array([c for _, c in counted])
         fits = 100 * np.minimum(self.sizes[found], size) >= percent * np.maximum(self.sizes[found], size)
         found, count = found[fits], count[fits]
-        for i in long:
-            own = self.members[starts[i] : ends[i]]
-            if len(own):
-                count = count + (own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found)
+        step = max(1, PROBES // max(1, len(found)))
+        for a in range(0, len(long), step):
+            probes = np.sort(at[long[a : a + step]])[:, None] * self.width + found
+            place = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+            count = count + (self.keys[place] == probes).sum(axis=0)
         return found[100 * count >= percent * (size + self.sizes[found] - count)]
 
 
 def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
     """Places in sets of those that link with query. Both hold sorted distinct values."""
-    return Lists(sets).search(query, percent).tolist()
+    return Lists(sets, query).search(query, percent).tolist()
 
 
 def _document_sets(batch: pa.RecordBatch, k: int):
@@ -200,6 +213,10 @@ def _component_members(parts: DataFrame) -> DataFrame:
     return queries.unionByName(index)
 
 
+def _values(rows: list) -> np.ndarray:
+    return np.unique(np.concatenate([row[2] for row in rows]))
+
+
 def _links_of(queries: list, index: list, percent: int) -> list[tuple[int, int]]:
     """Links (key, key) that unite components, of queries against index, both rows (key, part, set)."""
     above: dict[int, int] = {}
@@ -209,7 +226,7 @@ def _links_of(queries: list, index: list, percent: int) -> list[tuple[int, int]]
             v = above[v]
         return v
 
-    out, lists = [], Lists([row[2] for row in index])
+    out, lists = [], Lists([row[2] for row in index], _values(queries))
     for x, part, values in queries:
         if all(top(row[1]) == top(part) for row in index):
             continue
@@ -224,7 +241,7 @@ def _links_of(queries: list, index: list, percent: int) -> list[tuple[int, int]]
 def _degrees_of(queries: list, index: list, percent: int) -> list[tuple[int, int]]:
     """(key, number of links) of queries with index. Sets of one block, which are both, count at the query alone."""
     counts: Counter = Counter()
-    lists, within = Lists([row[2] for row in index]), {row[0] for row in queries} & {row[0] for row in index}
+    lists, within = Lists([row[2] for row in index], _values(queries)), {row[0] for row in queries} & {row[0] for row in index}
     for x, _, values in queries:
         for i in lists.search(values, percent).tolist():
             if index[i][0] != x:
