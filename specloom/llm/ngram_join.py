@@ -365,3 +365,18 @@ def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(kit.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
+
+
+#: By brute force: all pairs that share a shingle, and reachability by repetition.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM s a JOIN s b USING (g) GROUP BY ALL),
+l AS (SELECT x, y, both_ = nx.n AND both_ = ny.n AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * both_ >= 85 * (nx.n + ny.n - both_)),
+c AS (SELECT x, min(y) AS class_id FROM l WHERE same GROUP BY 1),
+deg AS (SELECT l.x, count(DISTINCT c.class_id) AS n_links FROM l JOIN c ON c.x = l.y WHERE NOT same GROUP BY 1),
+reach(x, y) AS (SELECT x, x FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(class_id, doc_id)::BIGINT AS class_id, coalesce(low, doc_id)::BIGINT AS component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = doc_id LEFT JOIN deg ON deg.x = doc_id LEFT JOIN (SELECT x, min(y) AS low FROM reach GROUP BY 1) r ON r.x = doc_id
+"""
