@@ -218,7 +218,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, payload: bool = Fals
     """The chunk table read back from archives of pages, written to a new folder in the shared one.
 
     A null html is an empty payload, a null url no target, a null page_id a record named none. Rows that repeat a page_id
-    are records of their own, and responses if that page_id is the largest of their payload. An empty table gives none.
+    are records of their own, and responses if that page_id is the largest of their payload. An empty table gives none;
+    other columns are ignored.
     """
     kit.small_batches(pages.sparkSession)
     folder = folder or f"{kit.shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
