@@ -161,7 +161,7 @@ def o_review_queue(spark, d):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey")
 def o_review_queue_whole(spark, d):
-    """The whole queue in its order, as the reference's GET returns it."""
+    """The whole queue in its order, keys and dates only."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
     return catalog.review_queue(orders, "O").select(F.col("id").alias("o_orderkey"), F.col("created_at").alias("o_orderdate"))
 
