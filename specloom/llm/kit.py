@@ -153,8 +153,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
-def _piece(values: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of one piece; a word ends at a separator and at each of breaks."""
+def _piece(values: np.ndarray, breaks: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of one piece; a word ends at a separator and at each of breaks. After each word's
+    hash come those of its first bytes, one for each length of prefixes; 0 where the word isn't longer than that."""
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -170,13 +171,17 @@ def _piece(values: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarr
     power, inverse = _power_tables(n)
     term = values * power[:n]
     total = np.cumsum(term)
-    return mix((total[end] - total[start] + term[start]) * inverse[start]), start
+    until = lambda last: mix((total[last] - total[start] + term[start]) * inverse[start])
+    if not prefixes:
+        return until(end), start
+    beginnings = [np.where(start + k <= end, mix(until(np.minimum(start + k - 1, end)) + np.uint64(k)), np.uint64(0)) for k in prefixes]
+    return np.stack([until(end), *beginnings], axis=1).ravel(), start
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, bytes_to: np.ndarray):
+def word_hashes(data: np.ndarray, offsets: np.ndarray, bytes_to: np.ndarray, prefixes: tuple[int, ...] = ()):
     """Yields (first row, row after the last, hashes of their words, bounds of each row's words).
 
-    A hash is 64 bits of the lower-cased word (A-Z only). Rows come in runs of about CHUNK_BYTES; a longer
+    A hash is 64 bits of the lower-cased word (A-Z only); prefixes adds hashes to each word, as _piece states. Rows come in runs of about CHUNK_BYTES; a longer
     text is hashed in pieces that end at a separator, so scratch memory doesn't grow with it.
     """
     row, rows = 0, len(offsets) - 1
@@ -185,15 +190,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, bytes_to: np.ndarray):
         a, b = int(offsets[row]), int(offsets[last])
         if b - a <= 2 * CHUNK_BYTES:
             inner = offsets[row : last + 1] - a
-            hashes, start = _piece(bytes_to[data[a:b]], inner)
-            yield row, last, hashes, np.searchsorted(start, inner)
+            hashes, start = _piece(bytes_to[data[a:b]], inner, prefixes)
+            yield row, last, hashes, np.searchsorted(start, inner) * (1 + len(prefixes))
         else:
             parts = []
             while a < b:
                 stop = min(b, a + CHUNK_BYTES)
                 while stop < b and bytes_to[data[stop]]:
                     stop += 1
-                parts.append(_piece(bytes_to[data[a:stop]], np.zeros(0, np.int64))[0])
+                parts.append(_piece(bytes_to[data[a:stop]], np.zeros(0, np.int64), prefixes)[0])
                 a = stop
             hashes = np.concatenate(parts)
             yield row, last, hashes, np.array([0, len(hashes)])

@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms (operator 10).
 
-A document is the set of its hashed terms, and of those that it repeats. The machine adds a weight for each term and the
+A document is the set of its hashed terms, and of those that it repeats. Terms are words and their beginnings of BEGINNINGS
+bytes, so that other forms of a word, not seen in training, count too. The machine adds a weight for each term and the
 product of two terms' factors for each pair, so a pair such as an insult and whom it is aimed at counts for more (or
 less) than its parts. Terms are the buckets that tell the labels apart best in the training sample.
 """
@@ -17,19 +18,20 @@ from pyspark.sql import functions as F
 
 from specloom.llm import kit
 
-TRAIN_ROWS, BUCKETS, TERMS, FACTORS = 12_000, 1 << 20, 256, 6
+TRAIN_ROWS, BUCKETS, TERMS, FACTORS = 12_000, 1 << 22, 256, 6
+BEGINNINGS = (4, 5, 6, 8)
 LEAST_DOCUMENTS = 3
 
 
 def _terms(hashes: np.ndarray) -> np.ndarray:
-    """Sorted distinct buckets of a text's words, and of the words that stand there twice or more (the upper half)."""
-    ids, counts = np.unique(hashes % np.uint64(BUCKETS), return_counts=True)
+    """Sorted distinct buckets of a text's terms, and of those that stand there twice or more (the upper half)."""
+    ids, counts = np.unique(hashes[hashes > 0] % np.uint64(BUCKETS), return_counts=True)
     return np.concatenate((ids, ids[counts > 1] + np.uint64(BUCKETS))).astype(np.int64)
 
 
 def _documents(column: pa.Array):
     data, offsets = kit.text_buffers(column)
-    for first, last, hashes, bounds in kit.word_hashes(data, offsets, kit.ALNUM):
+    for first, last, hashes, bounds in kit.word_hashes(data, offsets, kit.ALNUM, BEGINNINGS):
         for r in range(first, last):
             yield hashes[bounds[r - first] : bounds[r - first + 1]]
 

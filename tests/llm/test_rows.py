@@ -168,6 +168,36 @@ def test_machine_by_plain_loops():
         assert got == pytest.approx(0.3 + sum(own.weights[t] for t in held) + pairs, rel=1e-4)
 
 
+def test_beginnings_of_words(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    def of(text):
+        data, offsets = kit.text_buffers(pa.array([text, None, text]))
+        parts = list(kit.word_hashes(data, offsets, kit.ALNUM, (4, 6)))
+        return np.concatenate([h for _, _, h, _ in parts]), np.concatenate([np.diff(b) for _, _, _, b in parts])
+
+    hashes, sizes = of("Loweisch loweint low élan lowe")
+    rows = hashes[:15].reshape(5, 3)
+    assert sizes.tolist() == [15, 0, 15] and (hashes[:15] == hashes[15:]).all()
+    assert rows[0, 1] == rows[1, 1] != 0 and rows[0, 2] != rows[1, 2] and rows[0, 0] != rows[1, 0]
+    assert rows[2, 1:].tolist() == [0, 0] and rows[3, 1] != 0 and rows[3, 2] == 0 and rows[4, 1] == 0  # é is two bytes
+    whole = of("loweisch a idiotic " * 500)[0]
+    monkeypatch.setattr(kit, "CHUNK_BYTES", 700)
+    assert (of("loweisch a idiotic " * 500)[0] == whole).all()
+
+
+def test_toxicity_of_unseen_forms(spark):
+    """Words that share a beginning with toxic ones count, though none of them was seen."""
+    clean = [f"word{i % 7} other{i % 11} thing{i % 5}" for i in range(200)]
+    toxic = [f"word{i % 7} grumpf{chr(97 + i)} thing{i % 5}" for i in range(20)]
+    rows = [(i, t, int(i >= 200)) for i, t in enumerate(clean + toxic)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, "word3 grumpfzz thing1"), (2, "word3 other4 thing1"), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.score >= 0.5 for r in toxicity.score(asked, model).collect()} == {1: True, 2: False, 3: False}
+
+
 def test_network_by_plain_loops():
     import numpy as np
 
