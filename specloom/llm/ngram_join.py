@@ -31,6 +31,7 @@ BLOCK = 256
 STEP = 10
 BUFFERED = 1_500_000
 HEAVY_FROM, HEAVY_MOST = 8, 400_000
+HOT_LEAST, HOT_SHARE = 1000, 100_000
 
 
 def need(size: int, percent: int) -> int:
@@ -167,15 +168,41 @@ def _prefixes(documents: DataFrame, k: int, percent: int, heavy) -> DataFrame:
     return documents.mapInArrow(run, "key long, n int, post array<long>, n_light int")
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Values of key that HOT_LEAST rows or more, and more than one in HOT_SHARE, have: at most HOT_SHARE values."""
+    least = max(HOT_LEAST, rows.count() // HOT_SHARE + 1)
+    return kit.cut(rows.groupBy(key).count().filter(F.col("count") >= least).select(key))
+
+
+def joined(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has a row for each key. Those of the hot keys, at most HOT_SHARE, go to all tasks, so that
+    no task takes all rows of such a key."""
+    if hot.isEmpty():
+        return rows.join(facts, key, how)
+    known = F.broadcast(hot)
+    theirs = F.broadcast(facts.join(known, key, "left_semi"))
+    return rows.join(known, key, "left_semi").join(theirs, key, how).unionByName(rows.join(known, key, "left_anti").join(facts, key, how))
+
+
+def _of_lists(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """rows joined with facts, a row for each list (shingle, heavy). Heavy lists, at most HEAVY_MOST, can hold any part of
+    the rows; their facts go to all tasks, so that no task takes such a list whole."""
+    own = lambda df, heavy: df.filter("heavy" if heavy else "not heavy")
+    near = own(rows, True).join(F.broadcast(own(facts, True).drop("heavy")), "shingle")
+    return near.unionByName(own(rows, False).join(own(facts, False).drop("heavy"), "shingle"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest vertex reachable from each vertex of edges (x, y): label spreading with pointer jumps."""
+    """Smallest vertex reachable from each vertex of edges (x, y): label spreading with pointer jumps. Neither a vertex of
+    many edges nor a label of many vertices is taken whole by one task."""
     both = kit.cut(edges.select("x", "y").union(edges.select("y", "x")).distinct())
+    hubs = hot_keys(both, "y")
     label = kit.cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label")))
     while True:
-        near = both.join(label.select(F.col("x").alias("y"), F.col("label").alias("theirs")), "y").groupBy("x").agg(F.min("theirs").alias("theirs"))
-        spread = label.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "theirs").alias("mid"))
+        near = joined(both, label.select(F.col("x").alias("y"), F.col("label").alias("theirs")), "y", hubs).groupBy("x").agg(F.min("theirs").alias("theirs"))
+        spread = kit.cut(label.join(near, "x").select("x", F.col("label").alias("old"), F.least("label", "theirs").alias("mid")))
         jump = label.select(F.col("x").alias("mid"), F.col("label").alias("far"))
-        step = kit.cut(spread.join(jump, "mid", "left").select("x", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
+        step = kit.cut(joined(spread, jump, "mid", hot_keys(spread, "mid"), "left").select("x", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
         if step.filter("label <> old").isEmpty():
             return step.select(F.col("x").alias("key"), "label")
         label = step.select("x", "label")
@@ -319,8 +346,10 @@ def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
 
     several = kit.cut(rows.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).filter("doc_id is null or a <> b").select("doc_id"))
     documents, rows = _keyed(documents, several), _keyed(rows, several)
-    classes = rows.filter("n_shingles > 0").groupBy("mark").agg(F.min("key").alias("class_key"), F.min("doc_id").alias("class_id"))
-    member = kit.cut(rows.join(classes, "mark", "left").selectExpr("doc_id", "row_key", "key", "n_shingles", "if(n_shingles > 0, class_key, null) as class_key", "if(n_shingles > 0, class_id, doc_id) as class_id"))
+    full, empty = rows.filter("n_shingles > 0"), rows.filter("n_shingles = 0")
+    classes = full.groupBy("mark").agg(F.min("key").alias("class_key"), F.min("doc_id").alias("class_id"))
+    of_class = joined(full, classes, "mark", hot_keys(full, "mark")).unionByName(empty, allowMissingColumns=True)
+    member = kit.cut(of_class.selectExpr("doc_id", "row_key", "key", "n_shingles", "if(n_shingles > 0, class_key, null) as class_key", "if(n_shingles > 0, class_id, doc_id) as class_id"))
 
     copies = kit.cut(member.filter("key <> class_key").select("key").distinct())
     posted = _prefixes(documents.select("key", "text"), k, percent, table).join(kit.few(copies, 16), "key", "left_anti")
@@ -336,19 +365,19 @@ def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     near = by_list.orderBy("n", "key")
     beside = lambda c: F.coalesce(F.least("n", c) * 100 >= F.greatest("n", c) * percent, F.lit(False))
     shared = shared.withColumn("fits", F.col("lane").isNotNull() | beside(F.lag("n").over(near)) | beside(F.lead("n").over(near))).filter("fits").withColumn("enough", enough).filter("enough")
-    shared = kit.cut(shared.select("shingle", "key", "n"))
-    firsts = shared.groupBy("shingle").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("many")).filter("many > 1")
-    shared = kit.cut(shared.join(firsts, "shingle"))
+    shared = kit.cut(shared.select("shingle", F.col("lane").isNotNull().alias("heavy"), "key", "n"))
+    firsts = shared.groupBy("shingle", "heavy").agg(F.min(F.struct("key", "n")).alias("first"), F.count("*").alias("many")).filter("many > 1")
+    shared = kit.cut(_of_lists(shared, firsts))
 
     fits = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent
     pairs = kit.cut(shared.filter(fits & (F.col("key") != F.col("first.key"))).select(F.col("first.key").alias("x"), F.col("key").alias("y")).distinct())
     links = kit.cut(_searched(_star_members(pairs), documents, k, percent, _links_of))
     parts = components(links)
 
-    wide = shared.filter("many > 2").select("shingle", "key")
-    known = kit.cut(wide.join(parts, "key", "left").select("shingle", "key", F.coalesce("label", "key").alias("part")))
-    ends = known.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b")
-    split = known.join(ends, "shingle")
+    wide = shared.filter("many > 2").select("shingle", "heavy", "key")
+    known = kit.cut(wide.join(parts, "key", "left").select("shingle", "heavy", "key", F.coalesce("label", "key").alias("part")))
+    ends = known.groupBy("shingle", "heavy").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b")
+    split = _of_lists(known, ends)
     rest = kit.cut(split.select(F.col("a").alias("lot"), "key", "part").distinct())
     if not rest.isEmpty():
         links = kit.cut(links.union(_searched(_block_members(rest), documents, k, percent, _links_of)))
@@ -358,8 +387,9 @@ def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     counted = _searched(_component_members(parts), documents, k, percent, _degrees_of).groupBy(F.col("x").alias("key")).agg(F.sum("y").alias("n_links"))
     linked = parts.join(classes.select(F.col("class_key").alias("key"), "class_id"), "key").join(counted, "key", "left")
     lowest = linked.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    facts = linked.join(lowest, "label").select(F.col("key").alias("class_key"), "component_id", F.col("label").alias("group_key"), F.coalesce("n_links", F.lit(1)).alias("n_links"))
-    final = member.join(facts, "class_key", "left")
+    facts = kit.cut(joined(kit.cut(linked), lowest, "label", hot_keys(parts, "label")).select(F.col("key").alias("class_key"), "component_id", F.col("label").alias("group_key"), F.coalesce("n_links", F.lit(1)).alias("n_links")))
+    classed, rest = member.filter("class_key is not null"), member.filter("class_key is null")
+    final = joined(classed, facts, "class_key", hot_keys(classed, "class_key"), "left").unionByName(rest, allowMissingColumns=True)
     return final.select("doc_id", "row_key", "n_shingles", "class_id", F.expr("if(group_key is null, class_id, component_id)").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_key", "class_key").alias("group_key"))
 
 
