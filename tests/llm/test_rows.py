@@ -168,19 +168,6 @@ def test_machine_by_plain_loops():
         assert got == pytest.approx(0.3 + sum(own.weights[t] for t in held) + pairs, rel=1e-4)
 
 
-def test_join_of_hot_keys(spark, monkeypatch):
-    """The same rows whether keys count as hot or not: large groups of copies, hubs, empty sets."""
-    texts = [f"a{i} b c d e f g h i j k l m n o p q r s t u v w x y z".replace("z", f"z{i % 3}") for i in range(12)]
-    texts = texts * 2 + ["one and the same text of a few words"] * 9 + [None, "", " "] * 4 + [f"alone {i} with its words" for i in range(5)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    found = lambda: sorted(tuple(r) for r in ngram_join.ngram_join(rows, percent=70).collect())
-    want = found()
-    assert sum(r[5] for r in want) > 0 and len(want) == len(texts)
-    for name, value in (("HOT_LEAST", 2), ("HEAVY_FROM", 2)):
-        monkeypatch.setattr(ngram_join, name, value)
-        assert found() == want
-
-
 def test_beginnings_of_words(monkeypatch):
     import numpy as np
     import pyarrow as pa
