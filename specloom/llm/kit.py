@@ -78,6 +78,15 @@ def crc_bucket(id_column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def own(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names hold: dots, spaces, backticks."""
+    return [named(c) for c in df.columns]
+
+
+def named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores before it until df has no such column in any case."""
     taken = {c.lower() for c in df.columns}

@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Poisson replication (operator 8), in DataFrame functions only.
 
 A source's mean repetition rate is its target size over its size. Each document draws its number of copies by inverting
-the Poisson distribution at a number hashed from seed and doc_id, so any run, task or retry draws the same. Copies are
+the Poisson distribution at a number hashed from seed and doc_id (or text, without one), so any run, task or retry draws the same. Copies are
 exploded and dealt over all partitions by a hash, then sorted by it: a global shuffle without a range sample.
 """
 
@@ -56,10 +56,11 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, exponent:
     weights: target share by source; a source that it leaves out gets none. None: shares in proportion to size to the
     power exponent, size in characters. The output has epochs times the characters of the input in expectation. A null
     source is a source; a null text has no characters and is copied at its source's rate; rows that repeat a doc_id draw
-    alike. A source of no characters gets none. An empty table gives none. A column of documents that is called replica or
+    alike, rows without one draw by their text. A source of no characters gets none. An empty table gives none. A column of documents that is called replica or
     order_key gives way to the result's own; other names may be any.
     """
-    own = [c for c in documents.columns if c.lower() not in ("replica", "order_key")]
+    own = [kit.named(c) for c in documents.columns if c.lower() not in ("replica", "order_key")]
+    identity = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     source, parts, cumulative, copies, salt = (kit.fresh(documents, n) for n in ("of_source", "n_parts", "cumulative", "n_copies", "salt"))
     known = rates(documents, weights, exponent, epochs)
     known = kit.cut(known.select(F.col("source").alias(source), F.col("parts").alias(parts), F.col("cumulative").alias(cumulative)))
@@ -69,10 +70,10 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, exponent:
     else:  # a large source's rows are dealt over SALTS tasks
         salted = known.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = documents.join(salted, key & (F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int") == F.col(salt)))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, j: a + kit.let(uniform(F.lit(seed), F.col("doc_id"), j), lambda u: F.size(F.filter(cumulative, lambda c: c <= u))))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, j: a + kit.let(uniform(F.lit(seed), identity, j), lambda u: F.size(F.filter(cumulative, lambda c: c <= u))))
     counted = joined.select(*own, drawn.alias(copies)).filter(F.col(copies) > 0)
     copied = counted.select(*own, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)).alias("replica"))
-    keyed = copied.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("replica").cast("string"), F.lit("order")).cast("binary")))
+    keyed = copied.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), identity, F.col("replica").cast("string"), F.lit("order")).cast("binary")))
     return keyed.repartition("order_key").sortWithinPartitions("order_key")
 
 
@@ -87,6 +88,6 @@ q AS (SELECT source, greatest(1, ceil(rate / 64)::INT) AS parts, rate / greatest
 c AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cum FROM q UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cum + p * rate / (k + 1) FROM c WHERE k + 1 <= ceil(rate + 10 * sqrt(rate) + 20)),
 t AS (SELECT source, list(cum ORDER BY k) AS cums FROM c GROUP BY source),
 u AS (SELECT doc_id, text, lang, d.source AS source, n_chars, cums, unnest(range(1, parts + 1)) AS j FROM documents d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN t ON t.source IS NOT DISTINCT FROM d.source),
-n AS (SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(cums, lambda x: x <= ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)))::BIGINT AS copies FROM u GROUP BY ALL)
-SELECT doc_id, text, lang, source, n_chars, r::INT AS replica, md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || r || ':order') AS order_key FROM n, unnest(range(0, copies)) AS x(r)
+n AS (SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(cums, lambda x: x <= ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':' || j), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)))::BIGINT AS copies FROM u GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, r::INT AS replica, md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, ''))) || ':' || r || ':order') AS order_key FROM n, unnest(range(0, copies)) AS x(r)
 """

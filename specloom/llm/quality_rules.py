@@ -86,14 +86,14 @@ def ledger(documents: DataFrame, keep=("doc_id",)) -> DataFrame:
     """
     name = kit.fresh(documents, "ledger")
     own = [*MEASURES, "fail_bits"]
-    kept = [c for c in keep if c.lower() not in own]
+    kept = [kit.named(c) for c in keep if c.lower() not in own]
     return measured(documents, name).select(*kept, f"{name}.*", fail_bits(name).alias("fail_bits"))
 
 
 def passing(documents: DataFrame, version: int) -> DataFrame:
     """The rows of documents, with their own columns only and whatever these are called, that pass a policy."""
     name = kit.fresh(documents, "ledger")
-    return measured(documents, name).filter(passes(version, fail_bits(name))).select(*documents.columns)
+    return measured(documents, name).filter(passes(version, fail_bits(name))).select(*kit.own(documents))
 
 
 def passes(version: int, bits: Column | str = "fail_bits") -> Column:

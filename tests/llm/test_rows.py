@@ -110,6 +110,25 @@ def test_clashing_columns(spark):
     assert url_filter.url_filter(pages).filter("verdict = 'allow' and host = 'x.net' and rule is null").count() == 30
 
 
+def test_names_of_any_kind(spark):
+    """Dots, spaces and backticks in names of extra columns, in all stages and operators that keep columns."""
+    rows = [(i, " ".join(f"w{i * j % 97}" for j in range(40)), "s", 1, 2, 3) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `x.y` int, `a b` int, `c``d` int")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        made = stage(spark, docs, "/root/testdata/sf0.001")
+        assert made.columns == docs.columns and {tuple(r) for r in made.collect()} <= set(rows)
+    assert mixing.mix(docs).drop("replica", "order_key").columns == docs.columns
+    assert quality_rules.ledger(docs, docs.columns).filter("`x.y` = 1 and `c``d` = 3").count() == 30
+    for made in (license_scan.license_scan(docs), ngram_join.ngram_join(docs), toxicity.score(docs, toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic"))))):
+        assert made.count() == 30
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    docs = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.format_string("text %04d", "id").alias("text"), F.lit("s").alias("source"))
+    kept = mixing.mix(docs)
+    assert 560 < kept.select("text").distinct().count() < 700 and 900 < kept.count() < 1100
+
+
 def test_samples_hold_rare_values(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 12, "rare").otherwise("common").alias("lang"))
     got = {r["lang"]: r["count"] for r in kit.sampled(rows, "lang", 200, "doc_id").groupBy("lang").count().collect()}
