@@ -13,7 +13,7 @@ from specloom.llm import decontaminate, kit, mixing, ngram_join, quality_model,
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among docs, scores 0.5 or more."""
     model, name = quality_model.fit(docs, kit.table(spark, sf_dir, "labels")), kit.fresh(docs, "quality_score")
-    return quality_model.score(docs, model, name).filter(F.col(name) >= 0.5).select(*docs.columns)
+    return quality_model.score(docs, model, name).filter(F.col(name) >= 0.5).select(*kit.own(docs))
 
 
 def quality_rule_ledger(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
