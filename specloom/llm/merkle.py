@@ -11,6 +11,8 @@ bounded by a count of leaves are broadcast below kit.BROADCAST_BYTES.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,7 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ROW_BITS = 33  # monotonically_increasing_id holds the row's place in its partition in so many bits
 DIGEST_BYTES = 96
 NODES_PER_TASK = 50_000
+WRITTEN_SHARE = 8  # paths of a level are written where its nodes are so small a part of all leaves
 PATH = "array<struct<before: string, after: string>>"
 
 
@@ -66,17 +69,23 @@ def _siblings(nodes: DataFrame, fanout: int, small: bool, keep: list[str]) -> Da
     return side.select("tree", "n", "idx", "digest", joined(lambda s: s.slot < slot).alias("before"), joined(lambda s: s.slot > slot).alias("after"), *keep)
 
 
-def _height(n: Column, fanout: int, levels: int) -> Column:
+def _height(n: Column, fanout: int) -> Column:
     """Levels above n leaves."""
-    return F.size(F.filter(F.array(*(F.lit(fanout**k) for k in range(levels))), lambda w: n > w)) if levels else F.lit(0)
+    powers = [w for w in (fanout**k for k in range(63)) if w < 1 << 62]
+    return F.size(F.filter(F.array(*map(F.lit, powers)), lambda w: n > w))
 
 
 def trees(leaves: DataFrame, fanout: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, tops) of leaves(tree, n, idx, digest, keep): rows are the leaves with tree, digest, keep and path, the siblings
-    at each level from the leaf up; tops has (tree, digest) of each tree's root. A tree of one leaf is its own root."""
-    sizes = leaves.select("tree", "n").filter("idx = 0").agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("trees")).first()
-    most, total, count = sizes.most or 0, sizes.total or 0, sizes.trees
-    levels, nodes, roots, bounds = [], leaves, [leaves.filter("n = 1").select("tree", "digest", F.lit(0).alias("height"))], []
+    at each level from the leaf up; tops has (tree, digest) of each tree's root. A tree of one leaf is its own root.
+
+    On the way down the small upper levels are written one by one, so that no plan holds more than a few joins.
+    """
+    firsts = leaves.filter("idx = 0")
+    sizes = firsts.agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("trees"), F.collect_set(_height(F.col("n"), fanout)).alias("heights")).first()
+    most, total, count, heights = sizes.most or 0, sizes.total or 0, sizes.trees, set(sizes.heights)  # as many heights as levels at most
+    levels, nodes, bounds = [], leaves, []
+    roots = {0: leaves.filter("n = 1").select("tree", "digest", F.lit(0).alias("height"))}
     while most > 1:
         bound = total // fanout ** len(levels) + count  # nodes of this level at most
         small = bound * DIGEST_BYTES <= kit.BROADCAST_BYTES // 4
@@ -88,23 +97,22 @@ def trees(leaves: DataFrame, fanout: int, keep: list[str]) -> tuple[DataFrame, D
         most = -(-most // fanout)
         parents = F.floor((F.col("n") + (fanout - 1)) / fanout).cast("long")
         nodes = level.filter(F.col("idx") % fanout == 0).select("tree", parents.alias("n"), F.floor(F.col("idx") / fanout).cast("long").alias("idx"), digest(F.col("digest"), F.col("after")).alias("digest"))
-        roots.append(nodes.filter("n = 1").select("tree", "digest", F.lit(len(levels)).alias("height")))
-    tops = roots[0]
-    for r in roots[1:]:
-        tops = tops.union(r)
-    tops = kit.cut(tops)
-    heights = {r.height for r in tops.select("height").distinct().collect()}  # at most one for each level
-    start = lambda h: tops.filter(F.col("height") == h).select(F.col("tree").alias("_tree"), F.lit(0).cast("long").alias("_idx"), F.array().cast(PATH).alias("_path"))
+        if len(levels) in heights:
+            roots[len(levels)] = nodes.filter("n = 1").select("tree", "digest", F.lit(len(levels)).alias("height"))
+    tops = kit.cut(reduce(DataFrame.union, roots.values()))
     rows = leaves.filter("n = 1").select("tree", "digest", F.array().cast(PATH).alias("path"), *keep)
     above = None
     for k in reversed(range(len(levels))):
         if k + 1 in heights:
-            above = start(k + 1) if above is None else above.union(start(k + 1))
+            start = tops.filter(F.col("height") == k + 1).select(F.col("tree").alias("_tree"), F.lit(0).cast("long").alias("_idx"), F.array().cast(PATH).alias("_path"))
+            above = start if above is None else above.union(start)
         held = F.broadcast(above) if (bounds[k] // fanout + count) * DIGEST_BYTES * (len(levels) - k) <= kit.BROADCAST_BYTES // 2 else above
         found = levels[k].join(held, (F.col("tree") == F.col("_tree")) & (F.floor(F.col("idx") / fanout).cast("long") == F.col("_idx")))
         path = F.concat(F.array(F.struct("before", "after")).cast(PATH), F.col("_path"))
         if k:
             above = found.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), path.alias("_path"))
+            if bounds[k] <= total // WRITTEN_SHARE:
+                above = kit.cut(above)
         else:
             rows = rows.union(found.select("tree", "digest", path.alias("path"), *keep))
     return rows, tops.select("tree", "digest")
