@@ -18,6 +18,23 @@ REQUIREMENTS = (
     ("property", rf"(?i){B}\d{{2,3}}{S}*°{S}*C{B}", 92), ("dimension", rf"(?i){B}DN{S}?\d{{2,3}}{B}", 86),
 )
 
+
+def _as_it_is(place):
+    return F.array(place)
+
+
+def _from_each_digit(place):
+    """What a place may be read as when fewer of its leading digits count: 15 bar holds 5 bar."""
+    starts = F.filter(F.sequence(F.lit(1), F.length(place)), lambda i: F.substring(place, i, F.lit(1)).between("0", "9"))
+    return F.transform(starts, lambda i: F.substring(place, i, F.length(place)))
+
+
+def _to_two_digits(place):
+    """DN125 holds DN12."""
+    return F.array(place, F.regexp_replace(place, r"(\d\d)\d$", "$1"))
+
+
+REQUIREMENT_FORMS = (_from_each_digit, _as_it_is, _as_it_is, _from_each_digit, _to_two_digits)
 STANDARD_HIT = f"(?i){B}({c.STANDARD}){B}"
 
 
@@ -38,19 +55,54 @@ def _keep_first(df: DataFrame, keys: list, order: list) -> DataFrame:
 
 def systems(pages: DataFrame) -> DataFrame:
     """The first page of each system that a document mentions."""
-    each = [F.struct(F.lit(i).alias("ord"), F.lit(key).alias("normalized_name"), F.lit(name).alias("name"), F.lit(f"(?iu){pattern}").alias("pattern")) for i, (key, name, pattern) in enumerate(c.SYSTEMS)]
-    found = pages.select("doc_id", "page_ord", "page_number", "text", F.explode(F.array(*each)).alias("s")).filter(F.expr("text rlike s.pattern"))
-    source = F.coalesce(first(F.filter(lines(F.col("text")), lambda x: F.regexp_like(x, F.col("s.pattern")))), F.col("s.name"))
-    flat = found.select("doc_id", "page_ord", F.concat(F.lit("system-"), "s.normalized_name").alias("id"), "s.name", "s.normalized_name", F.col("page_number").alias("source_page"), source.alias("source_text"), F.lit(91).alias("confidence"), "s.ord")
+    own = lines(F.col("text"))
+
+    def mention(i, key, name, pattern):
+        pattern = f"(?iu){pattern}"
+        source = F.coalesce(first(F.filter(own, lambda x: x.rlike(pattern))), F.lit(name))
+        return F.when(F.col("text").rlike(pattern), F.struct(F.lit(i).alias("ord"), F.lit(key).alias("normalized_name"), F.lit(name).alias("name"), source.alias("source_text")))
+
+    found = pages.select("doc_id", "page_ord", "page_number", F.inline(F.array_compact(F.array(*(mention(i, *system) for i, system in enumerate(c.SYSTEMS))))))
+    flat = found.select("doc_id", "page_ord", F.concat(F.lit("system-"), "normalized_name").alias("id"), "name", "normalized_name", F.col("page_number").alias("source_page"), "source_text", F.lit(91).alias("confidence"), "ord")
     return _keep_first(flat, ["doc_id", "normalized_name"], ["page_ord"])
 
 
+def _page_hits(pages: DataFrame, rules) -> DataFrame:
+    """doc_id, page_ord, page_number, kind, pos, value, source_text: the first hit of each key on each page, for rules of
+    (pattern, group, value of a hit, key of a value, loose pattern, forms).
+
+    source_text is the first line that holds the hit's text, even within a longer word; a hit that no line holds has its
+    value there. A page is read once: the loose pattern finds all places of a line where a hit's text may stand, forms the
+    texts that stand there, and hits and places of one text meet in one aggregation. So a page costs its lines and hits once.
+    """
+    page, none = ["doc_id", "page_ord", "page_number"], F.lit(None)
+    hit_type, at_type = "struct<pos: int, value: string, key: string>", "struct<line_idx: int, line: string>"
+    entry = lambda i, form, hit, at: F.struct(F.lit(i).alias("kind"), form.alias("form"), hit.cast(hit_type).alias("hit"), at.cast(at_type).alias("at"))
+
+    def hits(i, pattern, group, value, key, *_):
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), group), lambda h, pos: entry(i, F.lower(h), F.struct(pos.alias("pos"), value(h).alias("value"), key(value(h)).alias("key")), none))
+
+    def places(line, at):
+        def of_rule(i, loose, forms):
+            texts = F.flatten(F.transform(F.regexp_extract_all(F.lower(line), F.lit(loose), 0), forms))
+            return F.transform(texts, lambda form: entry(i, form, none, F.struct(at.alias("line_idx"), line.alias("line"))))
+
+        each = [of_rule(i, *rule[4:]) for i, rule in enumerate(rules)]
+        return F.concat(*each)
+
+    found = pages.select(*page, F.inline(F.concat(*(hits(i, *rule) for i, rule in enumerate(rules)), F.flatten(F.transform(lines(F.col("text")), places)))))
+    met = found.groupBy(*page, "kind", "form").agg(F.min("hit").alias("hit"), F.min("at").alias("at")).filter("hit is not null")
+    first_ = met.groupBy(*page, "kind", "hit.key").agg(F.min(F.struct("hit.pos", "hit.value", F.coalesce("at.line", "hit.value").alias("source_text"))).alias("h"))
+    return first_.select(*page, "kind", "h.*")
+
+
+STANDARD_RULE = (STANDARD_HIT, 1, c.standard_code, lambda code: code, f"(?i){c.STANDARD}", _as_it_is)
+
+
 def standards(pages: DataFrame) -> DataFrame:
     """The first mention of each standard, by normalized code."""
-    hits = pages.select("doc_id", "page_ord", "page_number", "text", F.posexplode(F.regexp_extract_all("text", F.lit(STANDARD_HIT), 1)).alias("pos", "hit"))
-    code = c.standard_code(F.col("hit"))
-    source = F.coalesce(first(F.filter(lines(F.col("text")), lambda x: F.contains(F.lower(x), F.lower("hit")))), code)
-    flat = hits.select("doc_id", "page_ord", "pos", F.concat(F.lit("standard-"), slug(code)).alias("id"), code.alias("code"), F.col("page_number").alias("source_page"), source.alias("source_text"), F.lit(96).alias("confidence"))
+    hits = _page_hits(pages, [STANDARD_RULE])
+    flat = hits.select("doc_id", "page_ord", "pos", F.concat(F.lit("standard-"), slug(F.col("value"))).alias("id"), F.col("value").alias("code"), F.col("page_number").alias("source_page"), "source_text", F.lit(96).alias("confidence"))
     return _keep_first(flat, ["doc_id", "code"], ["page_ord", "pos"])
 
 
@@ -113,18 +165,18 @@ def line_items(pages: DataFrame) -> DataFrame:
 
 
 def requirements(pages: DataFrame) -> DataFrame:
-    """Standards, and pressures, properties and dimensions once for each type, value and page number."""
-    base = standards(pages).select("doc_id", F.lit(0).alias("group"), "page_ord", F.lit(0).alias("kind"), "pos", F.concat(F.lit("requirement-"), "id").alias("id"), F.lit("standard").alias("type"), F.col("code").alias("value"), "source_page", "source_text", "confidence")
-    def hits_of(kind, type_, pattern, score):
-        struct = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), F.lit(type_).alias("type"), x.alias("hit"), F.lit(score).alias("confidence"))
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), 0), struct)
-
-    hits = [hits_of(k, *rule) for k, rule in enumerate(REQUIREMENTS)]
-    found = pages.select("doc_id", "page_ord", "page_number", "text", F.inline(F.concat(*hits)))
-    value = trim(F.regexp_replace(squeeze(F.col("hit")), rf"(?i)DN{S}+", "DN"))
-    source = F.coalesce(first(F.filter(lines(F.col("text")), lambda x: F.contains(F.lower(x), F.lower("hit")))), value)
-    flat = found.select("doc_id", F.lit(1).alias("group"), "page_ord", "kind", "pos", F.concat_ws("-", F.lit("requirement"), "type", slug(value), "page_number").alias("id"), "type", value.alias("value"), F.col("page_number").alias("source_page"), source.alias("source_text"), "confidence")
-    return base.unionByName(_keep_first(flat, ["doc_id", "id"], ["page_ord", "kind", "pos"]))
+    """Standards, once for each code, and pressures, properties and dimensions, once for each type, value and page number.
+
+    group is 0 for standards and 1 for the others. Pages are read once for both.
+    """
+    value = lambda hit: trim(F.regexp_replace(squeeze(hit), rf"(?i)DN{S}+", "DN"))
+    own = [(pattern, 0, value, slug, pattern.replace(B, ""), forms) for (_, pattern, _), forms in zip(REQUIREMENTS, REQUIREMENT_FORMS, strict=True)]
+    found = _page_hits(pages, [STANDARD_RULE, *own])
+    rule = lambda i, standard: F.get(F.array(F.lit(standard), *(F.lit(r[i]) for r in REQUIREMENTS)), F.col("kind"))
+    is_standard = F.col("kind") == 0
+    id_ = F.concat_ws("-", F.lit("requirement"), rule(0, "standard"), slug(F.col("value")), F.when(~is_standard, F.col("page_number")))
+    flat = found.select("doc_id", F.when(is_standard, 0).otherwise(1).alias("group"), "page_ord", F.greatest(F.col("kind") - 1, F.lit(0)).alias("kind"), "pos", id_.alias("id"), rule(0, "standard").alias("type"), "value", F.col("page_number").alias("source_page"), "source_text", rule(2, 96).alias("confidence"))
+    return _keep_first(flat, ["doc_id", "group", F.when(F.col("group") == 0, F.col("value")).otherwise(F.col("id"))], ["page_ord", "kind", "pos"])
 
 
 def warnings(pages: DataFrame, items: DataFrame | None = None) -> DataFrame:

@@ -238,21 +238,28 @@ def _suffixed(spark, d, page: int) -> DataFrame:
     return extract.normalize_pages(table(spark, d, "documents").select("doc_id", F.lit(0).alias("page_ord"), F.lit(page).alias("page_number"), text_.alias("text")))
 
 
-@query(rf"""SELECT DISTINCT doc_id, replace(regexp_replace(regexp_replace(upper(regexp_replace(hit, '\s+', ' ', 'g')), '^NS-? ?EN', 'NS-EN '), '^NFPA ?', 'NFPA '), 'VDS', 'VdS') AS code
-  FROM (SELECT doc_id, unnest(regexp_extract_all(t, '(?i)\b(?:NFPA\s*13|NFPA\s*14|NS-?\s*EN\s*12845|FM|UL|VdS)\b')) AS hit FROM ({_SUFFIXED}))""")
+#: Lines of the rendered texts as the pages hold them: misread characters of no consequence here, blanks squeezed, trimmed.
+_LINES = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '[–—]', '-', 'g'), '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {_LINES} AS lines, regexp_extract_all(t, '(?i)\b(?:NFPA\s*13|NFPA\s*14|NS-?\s*EN\s*12845|FM|UL|VdS)\b') AS hits FROM ({_SUFFIXED})),
+  h AS (SELECT doc_id, lines, regexp_replace(unnest(hits), '\s+', ' ', 'g') AS hit, generate_subscripts(hits, 1) AS pos FROM s),
+  c AS (SELECT *, replace(regexp_replace(regexp_replace(upper(hit), '^NS-? ?EN', 'NS-EN '), '^NFPA ?', 'NFPA '), 'VDS', 'VdS') AS code FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, code ORDER BY pos) = 1)
+  SELECT doc_id, code, coalesce(list_filter(lines, lambda x: contains(lower(x), lower(hit)))[1], code) AS source_text FROM c""")
 def x_standards(spark, d):
-    return extract.standards(_suffixed(spark, d, 0)).select("doc_id", "code")
+    return extract.standards(_suffixed(spark, d, 0)).select("doc_id", "code", "source_text")
 
 @query(rf"""WITH s AS ({_SUFFIXED}),
   h AS (SELECT doc_id, kind, type, unnest(hits) AS hit, generate_subscripts(hits, 1) AS pos FROM (
     SELECT doc_id, 0 AS kind, 'pressure' AS type, regexp_extract_all(t, '(?i)\b\d{{1,3}}(?:[,.]\d+)?\s*bar\b') AS hits FROM s UNION ALL SELECT doc_id, 1, 'property', regexp_extract_all(t, '(?i)\bQR\b') FROM s
     UNION ALL SELECT doc_id, 2, 'property', regexp_extract_all(t, '(?i)\bK\s*=\s*(?:80|115)\b') FROM s UNION ALL SELECT doc_id, 3, 'property', regexp_extract_all(t, '(?i)\b\d{{2,3}}\s*°\s*C\b') FROM s
     UNION ALL SELECT doc_id, 4, 'dimension', regexp_extract_all(t, '(?i)\bDN\s?\d{{2,3}}\b') FROM s)),
-  v AS (SELECT *, regexp_replace(regexp_replace(hit, '\s+', ' ', 'g'), '(?i)DN ', 'DN') AS value FROM h)
-  SELECT doc_id, type, value FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, type, trim(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '-') ORDER BY kind, pos) = 1""")
+  v AS (SELECT *, regexp_replace(regexp_replace(hit, '\s+', ' ', 'g'), '(?i)DN ', 'DN') AS value FROM h),
+  f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, type, trim(regexp_replace(lower(value), '[^a-z0-9]+', '-', 'g'), '-') ORDER BY kind, pos) = 1)
+  SELECT f.doc_id, type, value, coalesce(list_filter(lines, lambda x: contains(lower(x), lower(regexp_replace(hit, '[ \t]+', ' ', 'g'))))[1], value) AS source_text FROM f JOIN (SELECT doc_id, {_LINES} AS lines FROM s) USING (doc_id)""")
 def x_requirements(spark, d):
     """Pressures, properties and dimensions of the whole texts; standards have their own query."""
-    return extract.requirements(_suffixed(spark, d, 7)).filter("type <> 'standard'").select("doc_id", "type", "value")
+    return extract.requirements(_suffixed(spark, d, 7)).filter("type <> 'standard'").select("doc_id", "type", "value", "source_text")
 
 @query("""SELECT doc_id, code FROM (SELECT conv_id AS doc_id, unnest(CASE WHEN conv_id % 2 = 0 THEN ['NO_STANDARDS_DETECTED', 'NO_LINE_ITEMS_DETECTED', 'NO_TEXT_EXTRACTED'] ELSE ['NO_STANDARDS_DETECTED', 'UNKNOWN_LINE_ITEMS_INCLUDED', 'MATERIAL_LINES_NEED_REVIEW'] END) AS code FROM (SELECT DISTINCT conv_id FROM conversations))""")
 def x_warnings(spark, d):
@@ -497,3 +504,6 @@ def f_active_documents(spark, d):
 @query("""SELECT o_orderkey, replace(format('{:,}', c // 100), ',', '_') || CASE WHEN c % 100 = 0 THEN '' WHEN c % 10 = 0 THEN '.' || (c % 100 // 10) ELSE '.' || lpad((c % 100)::VARCHAR, 2, '0') END AS shown FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c FROM orders)""")
 def x_norwegian_number(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.translate(numbers.norwegian(F.col("o_totalprice")), "\u00a0,", "_.").alias("shown"))
+
+
+from specloom.plans import records  # noqa: E402, F401  (registers its queries here)
