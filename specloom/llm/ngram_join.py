@@ -294,7 +294,7 @@ def _keyed(df: DataFrame, several: DataFrame) -> DataFrame:
     return df.join(flagged, F.col("doc_id") == F.col("_several"), "left").withColumn("key", own).drop("_several")
 
 
-def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85, count_links: bool = True) -> DataFrame:
     """A row for each row of documents(doc_id, text, ...): doc_id, row_key, n_shingles, class_id, component_id, n_links,
     group_key.
 
@@ -303,7 +303,8 @@ def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
     (null for empty sets). row_key is xxhash64(doc_id, text). Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z. A text
     of fewer than k words is one shingle. Null and empty texts have size 0, link with nothing, and are components of their
     own. Rows may repeat a doc_id, with the same or another text, or have none: each belongs where its own text does, and
-    component_id is null where no member has a doc_id. Other columns are ignored; an empty table gives none.
+    component_id is null where no member has a doc_id. Other columns are ignored; an empty table gives none. Without
+    count_links there is no n_links, and components aren't searched again to count them.
     """
     spark = documents.sparkSession
     kit.small_batches(spark)
@@ -355,12 +356,15 @@ def ngram_join(documents: DataFrame, k: int = 4, percent: int = 85) -> DataFrame
         parts = components(links)
 
     # All links of a component lie within it, so they are counted there, and none is sent as a pair.
-    counted = _searched(_component_members(parts), documents, k, percent, _degrees_of).groupBy(F.col("x").alias("key")).agg(F.sum("y").alias("n_links"))
-    linked = parts.join(classes.select(F.col("class_key").alias("key"), "class_id"), "key").join(counted, "key", "left")
+    linked = parts.join(classes.select(F.col("class_key").alias("key"), "class_id"), "key").withColumn("n_links", F.lit(None).cast("long"))
+    if count_links:
+        counted = _searched(_component_members(parts), documents, k, percent, _degrees_of).groupBy(F.col("x").alias("key")).agg(F.sum("y").alias("n_links"))
+        linked = linked.drop("n_links").join(counted, "key", "left")
     lowest = linked.groupBy("label").agg(F.min("class_id").alias("component_id"))
     facts = linked.join(lowest, "label").select(F.col("key").alias("class_key"), "component_id", F.col("label").alias("group_key"), F.coalesce("n_links", F.lit(1)).alias("n_links"))
     final = member.join(facts, "class_key", "left")
-    return final.select("doc_id", "row_key", "n_shingles", "class_id", F.expr("if(group_key is null, class_id, component_id)").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_key", "class_key").alias("group_key"))
+    made = final.select("doc_id", "row_key", "n_shingles", "class_id", F.expr("if(group_key is null, class_id, component_id)").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_key", "class_key").alias("group_key"))
+    return made if count_links else made.drop("n_links")
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -194,15 +194,18 @@ def score(documents: DataFrame, model: tuple[np.ndarray, Network], name: str = "
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kit.small_batches(documents.sparkSession)
     documents = documents.drop(name)
-    schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
+    numbered = [f"c{i}" for i in range(len(documents.columns))]  # mapInArrow can't take a name with a backtick
+    text = numbered[[c.lower() for c in documents.columns].index("text")]
+    plain = documents.select(*(c.alias(n) for c, n in zip(kit.own(documents), numbered, strict=True)))
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches):
         vectors, net = shared.value
         for batch in batches:
-            parts = [net.probability(features(batch.column("text").slice(a, 512), vectors)) for a in range(0, batch.num_rows, 512)]
-            yield batch.append_column(name, pa.array(np.concatenate(parts) if parts else np.zeros(0)))
+            parts = [net.probability(features(batch.column(text).slice(a, 512), vectors)) for a in range(0, batch.num_rows, 512)]
+            yield batch.append_column("score", pa.array(np.concatenate(parts) if parts else np.zeros(0)))
 
-    return documents.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*documents.columns, name)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

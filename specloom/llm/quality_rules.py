@@ -122,6 +122,12 @@ def op1_quality_rules(spark, sf_dir: str, version: int = 2) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(version)).alias("kept"), "fail_bits")
 
 
+def rule_ablation(spark, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from a ledger that is written once."""
+    made = ledger(kit.table(spark, sf_dir, "documents"))
+    return ablation(kit.cut(made)).select("version", "rule", "kept", "kept_without", "failed", "failed_alone")
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 6, 1))) AS r(i)),
@@ -134,3 +140,9 @@ b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN 100 * n_dup_lines > 50 * n_lines AND n_dup_lines >= 3 THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words OR word_chars > 25 * n_words THEN 16 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+_CASES = ", ".join(f"({v}, '{name}', {mask(names)}, {mask([name])})" for v, names in POLICIES.items() for name in names)
+ABLATION_SQL = f"""
+SELECT version, rule, count(*) FILTER (fail_bits & mask = 0) AS kept, count(*) FILTER (fail_bits & (mask - bit) = 0) AS kept_without, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits & mask = bit) AS failed_alone
+FROM ({OP1_SQL}), (VALUES {_CASES}) AS c(version, rule, mask, bit) GROUP BY version, rule
+"""

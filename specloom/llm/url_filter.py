@@ -57,6 +57,38 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     return rules.filter(F.get("consequent", F.lit(0)).startswith("verdict:")).select(F.array_sort("antecedent").alias("rule_tokens"), F.substring(F.get("consequent", F.lit(0)), 9, 99).alias("learned"), "confidence", "support")
 
 
+def alike(labelled: DataFrame, support: float) -> DataFrame:
+    """token, chosen and members: tokens of enough rows, with the first of those that stand in exactly the same rows.
+
+    Rows of a token are compared by count and two sums of hashes, so a token is one row before the shuffle.
+    """
+    least = F.ceil(F.lit(support) * labelled.count())
+    each = labelled.select(F.xxhash64(F.monotonically_increasing_id()).alias("h"), F.explode("tokens").alias("token"))
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("h").alias("a"), F.sum(F.shiftright("h", 24)).alias("b")).filter(F.col("n") >= least)
+    return seen.groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.explode("members").alias("token"), F.get("members", F.lit(0)).alias("chosen"), "members")
+
+
+def mine_deciding(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """The rules of mine that can decide, and perhaps others, without growing the sets that can't.
+
+    Tokens that always occur together make rules of equal confidence and support, and a rule with two of them comes after
+    the one without the second. So only one of them is mined, and then stands for each of the others in turn: what
+    prune leaves is the same, but a path of many segments that always come together costs its length, not all its subsets.
+    """
+    labelled = kit.cut(labelled.withColumn("row", F.monotonically_increasing_id()))
+    if labelled.isEmpty():
+        return mine(labelled, support, confidence)
+    classes = kit.cut(alike(labelled.select("tokens"), support))
+    chosen = kit.few(classes.filter("token = chosen").select("token"), 64)
+    kept = labelled.select("row", F.explode("tokens").alias("token")).join(chosen, "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("held"))
+    reduced = labelled.select("row", "verdict").join(kept, "row", "left").select(F.coalesce("held", F.array().cast("array<string>")).alias("tokens"), "verdict")
+    rules = kit.cut(mine(kit.cut(reduced), support, confidence).withColumn("rule", F.monotonically_increasing_id()))
+    members = rules.select("rule", F.explode("rule_tokens").alias("chosen")).join(kit.few(classes.filter("token = chosen").select("chosen", "members"), 256), "chosen").groupBy("rule").agg(F.collect_list("members").alias("each"))
+    put = lambda sets, members: F.flatten(F.transform(sets, lambda s: F.transform(members, lambda m: F.concat(s, F.array(m)))))
+    sets = F.aggregate("each", F.array(F.array().cast("array<string>")), put)
+    return rules.join(members, "rule").select(F.explode(F.transform(sets, lambda s: F.array_sort(s))).alias("rule_tokens"), "learned", "confidence", "support")
+
+
 def place() -> Column:
     """Order in which rules decide: confidence, support, fewest tokens, text."""
     return F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("rule_tokens").alias("n"), F.array_join("rule_tokens", " ").alias("name"), F.col("learned").alias("v"))
@@ -90,7 +122,7 @@ def url_filter(pages: DataFrame, support: float = SUPPORT, confidence: float = C
     url = F.col("url")
     parsed = pages.select("page_id", "url", host(url).alias("host"), path(url).alias("path"))
     judged = parsed.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.when(url.contains("://"), tokens(url)).otherwise(F.array().cast("array<string>")).alias("tokens"))
-    learned = kit.cut(prune(mine(judged.select("tokens", "verdict").filter("verdict is not null"), support, confidence)))
+    learned = kit.cut(prune(mine_deciding(judged.select("tokens", "verdict").filter("verdict is not null"), support, confidence)))
     index = _filed(learned, judged.select(F.explode("tokens").alias("token"))).select(F.col("token").alias("filed"), "rule_tokens", "learned", "place")
     # Rows are told apart by a number of their own; of each, its first token stays even if no rule is filed there.
     each = judged.withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode_outer(F.when(F.col("verdict").isNull(), F.col("tokens"))).alias("at", "token"))

@@ -36,7 +36,8 @@ def store_of(path: str) -> tuple[pafs.FileSystem, str]:
 def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """pages(page_id, url, html) with payload_bytes, payload_digest (hex SHA-1), record_type and refers_to.
 
-    Of payloads that are equal (digest and size) and of at least least bytes, the largest page_id is the response.
+    Of payloads that are equal (digest and size) and of at least least bytes, the largest page_id is the response. Rows
+    without a page_id revisit it; where no row of a payload has one, all are responses.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     made = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
@@ -44,7 +45,7 @@ def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
     several = kit.cut(several.filter("n > 1").drop("n"))
     if several.count() * 80 <= BROADCAST_BYTES:
         several = F.broadcast(several)
-    again = F.coalesce(F.col("page_id") != F.col("kept"), F.lit(False))
+    again = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     joined = made.join(several, ["payload_bytes", "payload_digest"], "left")
     return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("kept")).alias("refers_to"))
 
@@ -217,8 +218,8 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame, folder: str | None = None, payload: bool = False) -> DataFrame:
     """The chunk table read back from archives of pages, written to a new folder in the shared one.
 
-    A null html is an empty payload, a null url no target, a null page_id a record named none. Rows that repeat a page_id
-    are records of their own, and responses if that page_id is the largest of their payload. An empty table gives none;
+    A null html is an empty payload, a null url no target, a null page_id a record named none, which
+    revisits the largest page_id of its payload. Rows that repeat a page_id are records of their own, and responses if that page_id is the largest of their payload. An empty table gives none;
     other columns are ignored.
     """
     kit.small_batches(pages.sparkSession)
@@ -234,6 +235,6 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT payload_bytes, payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
 FROM p LEFT JOIN m USING (payload_bytes, payload_digest)
 """

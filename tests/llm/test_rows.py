@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_whole_job import linked, shingle_set
 
 import corpus_pipeline
-from specloom.llm import kit, language, license_scan, license_texts, mixing, ngram_join, quality_model, quality_rules, toxicity, url_filter
+from specloom.llm import kit, language, license_scan, license_texts, mixing, ngram_join, quality_model, quality_rules, toxicity, url_filter, warc
 
 CLASHING = "doc_id long, text string, source string, n_words long, m string, ledger string, fail_bits long, quality_score double, parts int, replica int, order_key string, row_key long, group_key long, key long, label string, _row int, of_source string"
 
@@ -129,6 +129,28 @@ def test_rows_without_an_id_are_drawn_one_by_one(spark):
     assert 560 < kept.select("text").distinct().count() < 700 and 900 < kept.count() < 1100
 
 
+def test_records_without_a_page_id(spark):
+    html = "x" * 1200
+    pages = spark.createDataFrame([(1, "u", html), (None, "u", html), (7, "u", html), (None, "u", "y" * 1500), (None, "u", "y" * 1500), (None, "u", "z")], "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.classify(pages).collect()), key=repr)
+    assert got == sorted([(1, "revisit", 7), (None, "revisit", 7), (7, "response", None)] + [(None, "response", None)] * 3, key=repr)
+
+
+def test_mined_rules_that_decide(spark):
+    """Pruned, they are those of all token sets; a path of many common segments ends."""
+    random.seed(14)
+    tokens = [["a", "b", "c"], ["d"], ["e", "f"], ["g"], ["h"]]
+    rows = [([t], "allow") for t in "adg"]
+    rows += [(sorted({t for part in random.sample(tokens, random.randint(1, 4)) for t in part}), random.choice(["allow", "block", "block"])) for _ in range(60)]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string").repartition(3)
+    of = lambda rules: {(tuple(r.rule_tokens), r.learned, round(r.confidence, 9), round(r.support, 9)) for r in url_filter.prune(rules).collect()}
+    for part in (labelled, labelled.filter("size(tokens) > 1")):
+        assert of(url_filter.mine_deciding(part, 3 / 60, 0.7)) == of(url_filter.mine(part, 3 / 60, 0.7)) != set()
+    deep = [(sorted([f"s{i:02d}" for i in range(24)] + [f"p{k}"]), "block") for k in range(30)] + [([f"p{k}"], "allow") for k in range(30)]
+    got = url_filter.prune(url_filter.mine_deciding(spark.createDataFrame(deep, "tokens array<string>, verdict string"), 0.2, 0.9)).collect()
+    assert {tuple(r.rule_tokens) for r in got} == {(f"s{i:02d}",) for i in range(24)}
+
+
 def test_samples_hold_rare_values(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 12, "rare").otherwise("common").alias("lang"))
     got = {r["lang"]: r["count"] for r in kit.sampled(rows, "lang", 200, "doc_id").groupBy("lang").count().collect()}
