@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents link from 80 percent of their 5-word shingles on; op5's own 4 words and 85 percent bind only that query.
     Rows are told apart by doc_id and text, so another text under the same doc_id is judged on its own.
     """
-    found = kit.cut(ngram_join.ngram_join(docs, k=5, percent=80).filter("group_key is not null").select("doc_id", "row_key", "group_key"))
+    found = kit.cut(ngram_join.ngram_join(docs, k=5, percent=80, count_links=False).filter("group_key is not null").select("doc_id", "row_key", "group_key"))
     kept = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("r")).select("r.doc_id", "r.row_key")
     same = F.col("f.row_key").eqNullSafe(F.col("k.row_key")) & F.col("f.doc_id").eqNullSafe(F.col("k.doc_id"))
     left = kit.without(docs, found.alias("f").join(kept.alias("k"), same, "left_anti"))
