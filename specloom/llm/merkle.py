@@ -6,7 +6,7 @@ zero then emit the parents. Each level is written to the shared folder. Proofs c
 its parent's path by an equijoin and puts its own siblings before it, so nothing is sent once for each leaf and level.
 
 Keys of these joins are unique or shared by one run, so a tree of any size is spread over all tasks. Tables whose rows are
-bounded by a count of leaves are broadcast below kit.BROADCAST_BYTES.
+bounded by a count of leaves are broadcast below MOST_BROADCAST.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ROW_BITS = 33  # monotonically_increasing_id holds the row's place in its partition in so many bits
 DIGEST_BYTES = 96
 NODES_PER_TASK = 50_000
-WRITTEN_SHARE = 8  # paths of a level are written where its nodes are so small a part of all leaves
+WRITTEN_SHARE, WRITTEN_EVERY = 8, 4  # paths of each fourth level are written where its nodes are so small a part of all leaves
+MOST_BROADCAST = 1 << 20
 PATH = "array<struct<before: string, after: string>>"
 
 
@@ -62,7 +63,7 @@ def _siblings(nodes: DataFrame, fanout: int, small: bool, keep: list[str]) -> Da
     for offset in range(1, fanout):
         other = F.col("idx").bitwiseXOR(F.lit(1)) if fanout == 2 else F.col("idx") - slot + (slot + offset) % fanout
         shifted = nodes.filter("n > 1").select(F.col("tree").alias(f"_tree{offset}"), F.col("idx").alias(f"_idx{offset}"), F.col("digest").alias(f"_sibling{offset}"))
-        side = side.join(F.broadcast(shifted) if small else shifted, (F.col("tree") == F.col(f"_tree{offset}")) & (other == F.col(f"_idx{offset}")), "left")
+        side = side.join(F.broadcast(shifted) if small else shifted.hint("merge"), (F.col("tree") == F.col(f"_tree{offset}")) & (other == F.col(f"_idx{offset}")), "left")
         found.append(F.struct(((slot + offset) % fanout).alias("slot"), F.col(f"_sibling{offset}").alias("digest")))
     held = F.array_sort(F.filter(F.array(*found), lambda s: s.digest.isNotNull()))
     joined = lambda test: F.concat_ws("", F.transform(F.filter(held, test), lambda s: s.digest))
@@ -79,7 +80,7 @@ def trees(leaves: DataFrame, fanout: int, keep: list[str]) -> tuple[DataFrame, D
     """(rows, tops) of leaves(tree, n, idx, digest, keep): rows are the leaves with tree, digest, keep and path, the siblings
     at each level from the leaf up; tops has (tree, digest) of each tree's root. A tree of one leaf is its own root.
 
-    On the way down the small upper levels are written one by one, so that no plan holds more than a few joins.
+    On the way down each fourth of the small upper levels is written, so that no plan holds more than a few joins.
     """
     firsts = leaves.filter("idx = 0")
     sizes = firsts.agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("trees"), F.collect_set(_height(F.col("n"), fanout)).alias("heights")).first()
@@ -88,7 +89,7 @@ def trees(leaves: DataFrame, fanout: int, keep: list[str]) -> tuple[DataFrame, D
     roots = {0: leaves.filter("n = 1").select("tree", "digest", F.lit(0).alias("height"))}
     while most > 1:
         bound = total // fanout ** len(levels) + count  # nodes of this level at most
-        small = bound * DIGEST_BYTES <= kit.BROADCAST_BYTES // 4
+        small = bound * DIGEST_BYTES <= MOST_BROADCAST
         if levels and small:
             nodes = nodes.coalesce(1 + bound // NODES_PER_TASK)
         level = kit.cut(_siblings(nodes, fanout, small and bool(levels), keep if not levels else []))
@@ -106,12 +107,12 @@ def trees(leaves: DataFrame, fanout: int, keep: list[str]) -> tuple[DataFrame, D
         if k + 1 in heights:
             start = tops.filter(F.col("height") == k + 1).select(F.col("tree").alias("_tree"), F.lit(0).cast("long").alias("_idx"), F.array().cast(PATH).alias("_path"))
             above = start if above is None else above.union(start)
-        held = F.broadcast(above) if (bounds[k] // fanout + count) * DIGEST_BYTES * (len(levels) - k) <= kit.BROADCAST_BYTES // 2 else above
+        held = F.broadcast(above) if (bounds[k] // fanout + count) * DIGEST_BYTES * (len(levels) - k) <= MOST_BROADCAST else above.hint("merge")
         found = levels[k].join(held, (F.col("tree") == F.col("_tree")) & (F.floor(F.col("idx") / fanout).cast("long") == F.col("_idx")))
         path = F.concat(F.array(F.struct("before", "after")).cast(PATH), F.col("_path"))
         if k:
             above = found.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), path.alias("_path"))
-            if bounds[k] <= total // WRITTEN_SHARE:
+            if bounds[k] <= total // WRITTEN_SHARE and k % WRITTEN_EVERY == 0:
                 above = kit.cut(above)
         else:
             rows = rows.union(found.select("tree", "digest", path.alias("path"), *keep))

@@ -45,6 +45,7 @@ def plain_manifest(rows, fanout):
 def test_manifest_by_plain_loops(spark, monkeypatch, fanout, few):
     if not few:
         monkeypatch.setattr(kit, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(merkle, "MOST_BROADCAST", 0)
     random.seed(fanout)
     rows = [(random.choice(["a", "b", "b", "b", None]), i if i % 9 else None, hashed(str(i))) for i in range(45)]
     rows += [("é", 5, hashed("x")), ("z", 1, hashed("y")), ("b", 4, hashed("again")), ("b", 4, hashed("again"))]
