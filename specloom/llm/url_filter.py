@@ -58,12 +58,12 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
 
 
 def alike(labelled: DataFrame, support: float) -> DataFrame:
-    """token, chosen and members: tokens of enough rows, with the first of those that stand in exactly the same rows.
+    """token, chosen and members of labelled(row, tokens): tokens of enough rows, with the first of those that stand in exactly the same rows.
 
     Rows of a token are compared by count and two sums of hashes, so a token is one row before the shuffle.
     """
     least = F.ceil(F.lit(support) * labelled.count())
-    each = labelled.select(F.xxhash64(F.monotonically_increasing_id()).alias("h"), F.explode("tokens").alias("token"))
+    each = labelled.select(F.xxhash64("row").alias("h"), F.explode("tokens").alias("token"))
     seen = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("h").alias("a"), F.sum(F.shiftright("h", 24)).alias("b")).filter(F.col("n") >= least)
     return seen.groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.explode("members").alias("token"), F.get("members", F.lit(0)).alias("chosen"), "members")
 
@@ -78,7 +78,7 @@ def mine_deciding(labelled: DataFrame, support: float = SUPPORT, confidence: flo
     labelled = kit.cut(labelled.withColumn("row", F.monotonically_increasing_id()))
     if labelled.isEmpty():
         return mine(labelled, support, confidence)
-    classes = kit.cut(alike(labelled.select("tokens"), support))
+    classes = kit.cut(alike(labelled, support))
     chosen = kit.few(classes.filter("token = chosen").select("token"), 64)
     kept = labelled.select("row", F.explode("tokens").alias("token")).join(chosen, "token", "left_semi").groupBy("row").agg(F.collect_list("token").alias("held"))
     reduced = labelled.select("row", "verdict").join(kept, "row", "left").select(F.coalesce("held", F.array().cast("array<string>")).alias("tokens"), "verdict")
