@@ -5,8 +5,8 @@ the others of its run of `fanout` nodes by their computed indices (XOR 1 for two
 zero then emit the parents. Each level is written to the shared folder. Proofs come down the same tables: each node takes
 its parent's path by an equijoin and puts its own siblings before it, so nothing is sent once for each leaf and level.
 
-Keys of these joins are unique or shared by one run, so a tree of any size is spread over all tasks. Tables whose rows are
-bounded by a count of leaves are broadcast below MOST_BROADCAST.
+Keys of these joins are unique or shared by one run, so a tree of any size is spread over all tasks. Levels whose digests
+take at most MOST_BYTES, as counted, are joined in one task, several to a plan, and hand down whole paths.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from specloom.llm import kit
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ROW_BITS = 33  # monotonically_increasing_id holds the row's place in its partition in so many bits
 DIGEST_BYTES = 96
-NODES_PER_TASK = 50_000
-WRITTEN_SHARE, WRITTEN_EVERY = 8, 4  # paths of each fourth level are written where its nodes are so small a part of all leaves
-MOST_BROADCAST = 1 << 20
+WRITTEN_EVERY = 4  # paths of each fourth level are written on the way down
+MOST_BYTES = 1 << 20  # of digests of one level, from which on one task climbs; its paths take some 20 times as much
+MOST_SCANS = 8  # of a written level in one plan
 PATH = "array<struct<before: string, after: string>>"
 
 
@@ -56,18 +56,27 @@ def numbered(leaves: DataFrame, group: str, order: list[str]) -> DataFrame:
     return known.withColumn("idx", F.col("_place") - F.col("tree")).drop("_at", "_part", "_before", "_place", "_group")
 
 
-def _siblings(nodes: DataFrame, fanout: int, small: bool, keep: list[str]) -> DataFrame:
-    """A level's nodes of trees not yet at their root, with the digests before and after each in its run, in slot order."""
-    slot = F.col("idx") % fanout
-    side, found = nodes.filter("n > 1").select("tree", "n", "idx", "digest", *keep), []
+def _siblings(nodes: DataFrame, others: DataFrame, fanout: int) -> DataFrame:
+    """nodes with the digests before and after each in its run, in slot order: joined with others (tree, idx, digest) once
+    for each slot offset."""
+    slot, side, found = F.col("idx") % fanout, nodes, []
     for offset in range(1, fanout):
         other = F.col("idx").bitwiseXOR(F.lit(1)) if fanout == 2 else F.col("idx") - slot + (slot + offset) % fanout
-        shifted = nodes.filter("n > 1").select(F.col("tree").alias(f"_tree{offset}"), F.col("idx").alias(f"_idx{offset}"), F.col("digest").alias(f"_sibling{offset}"))
-        side = side.join(F.broadcast(shifted) if small else shifted.hint("merge"), (F.col("tree") == F.col(f"_tree{offset}")) & (other == F.col(f"_idx{offset}")), "left")
+        shifted = others.select(F.col("tree").alias(f"_tree{offset}"), F.col("idx").alias(f"_idx{offset}"), F.col("digest").alias(f"_sibling{offset}"))
+        side = side.join(shifted.hint("merge"), (F.col("tree") == F.col(f"_tree{offset}")) & (other == F.col(f"_idx{offset}")), "left")
         found.append(F.struct(((slot + offset) % fanout).alias("slot"), F.col(f"_sibling{offset}").alias("digest")))
     held = F.array_sort(F.filter(F.array(*found), lambda s: s.digest.isNotNull()))
     joined = lambda test: F.concat_ws("", F.transform(F.filter(held, test), lambda s: s.digest))
-    return side.select("tree", "n", "idx", "digest", joined(lambda s: s.slot < slot).alias("before"), joined(lambda s: s.slot > slot).alias("after"), *keep)
+    return side.select(*nodes.columns, joined(lambda s: s.slot < slot).alias("before"), joined(lambda s: s.slot > slot).alias("after"))
+
+
+def _parent(n: Column, fanout: int) -> Column:
+    """Nodes of the level above one of n nodes."""
+    return F.floor((n + (fanout - 1)) / fanout).cast("long")
+
+
+def _above(idx: Column, fanout: int) -> Column:
+    return F.floor(idx / fanout).cast("long")
 
 
 def _height(n: Column, fanout: int) -> Column:
@@ -76,47 +85,65 @@ def _height(n: Column, fanout: int) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, powers)), lambda w: n > w))
 
 
+def _climb(nodes: DataFrame, fanout: int, most: int) -> DataFrame:
+    """(tree, idx, root, path) of each of nodes (tree, n, idx, digest), which are few (MOST_BYTES): its siblings level by
+    level, and its tree's root.
+
+    One task holds all of them, so joins need no exchange, and a plan goes up several levels before its outcome is written.
+    Each node climbs: it joins the others of its run, of which slot zero's first descendant stands for the parent.
+    """
+    at = nodes.select("tree", F.col("idx").alias("base"), "n", "idx", "digest", F.array().cast(PATH).alias("path")).coalesce(1)
+    levels, each = 0, next(k for k in (3, 2, 1) if k == 1 or fanout**k <= MOST_SCANS)
+    while most > 1:
+        heads = at.filter((F.col("n") > 1) & (F.col("base") == F.col("idx") * F.lit(fanout**levels)))
+        found, inner = _siblings(at, heads, fanout), F.col("n") > 1
+        path = F.when(inner, F.concat("path", F.array(F.struct("before", "after")).cast(PATH))).otherwise(F.col("path"))
+        up = F.when(inner, digest(F.col("before"), F.col("digest"), F.col("after"))).otherwise(F.col("digest"))
+        at = found.select("tree", "base", _parent(F.col("n"), fanout).alias("n"), _above(F.col("idx"), fanout).alias("idx"), up.alias("digest"), path.alias("path"))
+        levels, most = levels + 1, -(-most // fanout)
+        if levels % each == 0 and most > 1:
+            at = kit.cut(at).coalesce(1)
+    return kit.cut(at.select("tree", F.col("base").alias("idx"), F.col("digest").alias("root"), "path"))
+
+
 def trees(leaves: DataFrame, fanout: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, tops) of leaves(tree, n, idx, digest, keep): rows are the leaves with tree, digest, keep and path, the siblings
     at each level from the leaf up; tops has (tree, digest) of each tree's root. A tree of one leaf is its own root.
 
-    On the way down each fourth of the small upper levels is written, so that no plan holds more than a few joins.
+    Large levels are written one by one, and their paths come down the same tables. From the first level of few nodes on,
+    these climb to the roots.
     """
     firsts = leaves.filter("idx = 0")
     sizes = firsts.agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.count("*").alias("trees"), F.collect_set(_height(F.col("n"), fanout)).alias("heights")).first()
     most, total, count, heights = sizes.most or 0, sizes.total or 0, sizes.trees, set(sizes.heights)  # as many heights as levels at most
-    levels, nodes, bounds = [], leaves, []
-    roots = {0: leaves.filter("n = 1").select("tree", "digest", F.lit(0).alias("height"))}
-    while most > 1:
-        bound = total // fanout ** len(levels) + count  # nodes of this level at most
-        small = bound * DIGEST_BYTES <= MOST_BROADCAST
-        if levels and small:
-            nodes = nodes.coalesce(1 + bound // NODES_PER_TASK)
-        level = kit.cut(_siblings(nodes, fanout, small and bool(levels), keep if not levels else []))
+    levels, nodes, tops = [], leaves, []
+    while most > 1 and (total // fanout ** len(levels) + count) * DIGEST_BYTES > MOST_BYTES:  # nodes of this level at most
+        if len(levels) in heights:
+            tops.append(nodes.filter("n = 1").select("tree", "digest"))
+        inner = nodes.filter("n > 1").select("tree", "n", "idx", "digest", *(keep if not levels else []))
+        level = kit.cut(_siblings(inner, inner, fanout))
         levels.append(level)
-        bounds.append(bound)
         most = -(-most // fanout)
-        parents = F.floor((F.col("n") + (fanout - 1)) / fanout).cast("long")
-        nodes = level.filter(F.col("idx") % fanout == 0).select("tree", parents.alias("n"), F.floor(F.col("idx") / fanout).cast("long").alias("idx"), digest(F.col("digest"), F.col("after")).alias("digest"))
-        if len(levels) in heights:
-            roots[len(levels)] = nodes.filter("n = 1").select("tree", "digest", F.lit(len(levels)).alias("height"))
-    tops = kit.cut(reduce(DataFrame.union, roots.values()))
+        nodes = level.filter(F.col("idx") % fanout == 0).select("tree", _parent(F.col("n"), fanout).alias("n"), _above(F.col("idx"), fanout).alias("idx"), digest(F.col("digest"), F.col("after")).alias("digest"))
+    climbed = _climb(nodes, fanout, most)
+    tops.append(climbed.filter("idx = 0").select("tree", F.col("root").alias("digest")))
+    above = climbed.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), F.col("path").alias("_path"))
+    if not levels:
+        same = (F.col("tree") == F.col("_tree")) & (F.col("idx") == F.col("_idx"))
+        return leaves.join(above.hint("merge"), same).select("tree", "digest", F.col("_path").alias("path"), *keep), tops[0]
     rows = leaves.filter("n = 1").select("tree", "digest", F.array().cast(PATH).alias("path"), *keep)
-    above = None
+    none = F.lit(0).cast("long").alias("_idx"), F.array().cast(PATH).alias("_path")
     for k in reversed(range(len(levels))):
-        if k + 1 in heights:
-            start = tops.filter(F.col("height") == k + 1).select(F.col("tree").alias("_tree"), F.lit(0).cast("long").alias("_idx"), F.array().cast(PATH).alias("_path"))
-            above = start if above is None else above.union(start)
-        held = F.broadcast(above) if (bounds[k] // fanout + count) * DIGEST_BYTES * (len(levels) - k) <= MOST_BROADCAST else above.hint("merge")
-        found = levels[k].join(held, (F.col("tree") == F.col("_tree")) & (F.floor(F.col("idx") / fanout).cast("long") == F.col("_idx")))
+        found = levels[k].join(above.hint("merge"), (F.col("tree") == F.col("_tree")) & (_above(F.col("idx"), fanout) == F.col("_idx")))
         path = F.concat(F.array(F.struct("before", "after")).cast(PATH), F.col("_path"))
-        if k:
-            above = found.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), path.alias("_path"))
-            if bounds[k] <= total // WRITTEN_SHARE and k % WRITTEN_EVERY == 0:
-                above = kit.cut(above)
-        else:
-            rows = rows.union(found.select("tree", "digest", path.alias("path"), *keep))
-    return rows, tops.select("tree", "digest")
+        if k == 0:
+            return rows.union(found.select("tree", "digest", path.alias("path"), *keep)), kit.cut(reduce(DataFrame.union, tops))
+        above = found.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), path.alias("_path"))
+        if k in heights:
+            ended = levels[k - 1].filter((F.col("idx") == 0) & (_parent(F.col("n"), fanout) == 1))
+            above = above.union(ended.select("tree", *none))
+        if k % WRITTEN_EVERY == 0:
+            above = kit.cut(above)
 
 
 def manifest(leaves: DataFrame, group: str, order: list[str], fanout: int = 2) -> DataFrame:
@@ -130,10 +157,17 @@ def manifest(leaves: DataFrame, group: str, order: list[str], fanout: int = 2) -
     carried = [c for c in leaves.columns if c != "digest"]
     packed = leaves.select("digest", F.struct(*(kit.named(c) for c in carried)).alias("_row"), kit.named(group).alias("_of"), *(kit.named(c).alias(f"_by{i}") for i, c in enumerate(order)))
     rows, tops = trees(numbered(packed, "_of", [f"_by{i}" for i in range(len(order))]), fanout, ["_row"])
-    upper, whole = trees(numbered(tops.withColumnRenamed("tree", "_of_tree").withColumn("_all", F.lit(0)), "_all", ["_of_tree"]), fanout, ["_of_tree"])
-    upper = kit.cut(upper.select("_of_tree", F.col("digest").alias("subroot"), F.col("path").alias("_upper")))
-    named = upper.join(F.broadcast(whole.select(F.col("digest").alias("root"))))  # one row
-    found = rows.join(kit.few(named, 40 * DIGEST_BYTES), F.col("tree") == F.col("_of_tree"))
+    count = tops.count()
+    subroots = tops.select(F.col("tree").alias("_of_tree"), "digest")
+    if count * DIGEST_BYTES <= MOST_BYTES:
+        place = F.row_number().over(Window.orderBy("_of_tree")).cast("long") - 1  # of few rows, as counted
+        placed = subroots.select("_of_tree", "digest", F.lit(0).cast("long").alias("tree"), F.lit(count).cast("long").alias("n"), place.alias("idx"))
+    else:
+        placed = numbered(subroots.withColumn("_all", F.lit(0)), "_all", ["_of_tree"])
+    upper, whole = trees(placed, fanout, ["_of_tree"])
+    upper = upper.select("_of_tree", F.col("digest").alias("subroot"), F.col("path").alias("_upper"))
+    named = kit.cut(upper.join(F.broadcast(whole.select(F.col("digest").alias("root")))))  # whole is one row
+    found = rows.join(F.broadcast(named) if count * 40 * DIGEST_BYTES <= kit.BROADCAST_BYTES else named, F.col("tree") == F.col("_of_tree"))
     return found.select("digest", "_row.*", "subroot", "root", F.concat("path", "_upper").alias("path"))
 
 

@@ -41,11 +41,12 @@ def plain_manifest(rows, fanout):
     return sorted(((g, number, leaf, trees[g][1], root, tuple(own) + tuple(upper[k])) for k, g in enumerate(names) for (_, number, leaf), own in ((o, tuple(p)) for o, p in zip(trees[g][0], trees[g][2], strict=True))), key=repr)
 
 
-@pytest.mark.parametrize("fanout,few", [(2, True), (3, False)])
-def test_manifest_by_plain_loops(spark, monkeypatch, fanout, few):
-    if not few:
-        monkeypatch.setattr(kit, "BROADCAST_BYTES", 0)
-        monkeypatch.setattr(merkle, "MOST_BROADCAST", 0)
+@pytest.mark.parametrize("fanout,most", [(2, None), (2, 1500), (3, 0), (5, 1500)])
+def test_manifest_by_plain_loops(spark, monkeypatch, fanout, most):
+    """All levels climbed in one task, only the upper ones, or none."""
+    if most is not None:
+        monkeypatch.setattr(kit, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(merkle, "MOST_BYTES", most)
     random.seed(fanout)
     rows = [(random.choice(["a", "b", "b", "b", None]), i if i % 9 else None, hashed(str(i))) for i in range(45)]
     rows += [("é", 5, hashed("x")), ("z", 1, hashed("y")), ("b", 4, hashed("again")), ("b", 4, hashed("again"))]
