@@ -102,8 +102,8 @@ def _climb(nodes: DataFrame, fanout: int, most: int) -> DataFrame:
         at = found.select("tree", "base", _parent(F.col("n"), fanout).alias("n"), _above(F.col("idx"), fanout).alias("idx"), up.alias("digest"), path.alias("path"))
         levels, most = levels + 1, -(-most // fanout)
         if levels % each == 0 and most > 1:
-            at = kit.cut(at).coalesce(1)
-    return kit.cut(at.select("tree", F.col("base").alias("idx"), F.col("digest").alias("root"), "path"))
+            at = kit.written(at).coalesce(1)
+    return kit.written(at.select("tree", F.col("base").alias("idx"), F.col("digest").alias("root"), "path"))
 
 
 def trees(leaves: DataFrame, fanout: int, keep: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +121,7 @@ def trees(leaves: DataFrame, fanout: int, keep: list[str]) -> tuple[DataFrame, D
         if len(levels) in heights:
             tops.append(nodes.filter("n = 1").select("tree", "digest"))
         inner = nodes.filter("n > 1").select("tree", "n", "idx", "digest", *(keep if not levels else []))
-        level = kit.cut(_siblings(inner, inner, fanout))
+        level = (kit.written if levels else kit.cut)(_siblings(inner, inner, fanout))  # rows of any columns are cut
         levels.append(level)
         most = -(-most // fanout)
         nodes = level.filter(F.col("idx") % fanout == 0).select("tree", _parent(F.col("n"), fanout).alias("n"), _above(F.col("idx"), fanout).alias("idx"), digest(F.col("digest"), F.col("after")).alias("digest"))
@@ -137,13 +137,13 @@ def trees(leaves: DataFrame, fanout: int, keep: list[str]) -> tuple[DataFrame, D
         found = levels[k].join(above.hint("merge"), (F.col("tree") == F.col("_tree")) & (_above(F.col("idx"), fanout) == F.col("_idx")))
         path = F.concat(F.array(F.struct("before", "after")).cast(PATH), F.col("_path"))
         if k == 0:
-            return rows.union(found.select("tree", "digest", path.alias("path"), *keep)), kit.cut(reduce(DataFrame.union, tops))
+            return rows.union(found.select("tree", "digest", path.alias("path"), *keep)), kit.written(reduce(DataFrame.union, tops))
         above = found.select(F.col("tree").alias("_tree"), F.col("idx").alias("_idx"), path.alias("_path"))
         if k in heights:
             ended = levels[k - 1].filter((F.col("idx") == 0) & (_parent(F.col("n"), fanout) == 1))
             above = above.union(ended.select("tree", *none))
         if k % WRITTEN_EVERY == 0:
-            above = kit.cut(above)
+            above = kit.written(above)
 
 
 def manifest(leaves: DataFrame, group: str, order: list[str], fanout: int = 2) -> DataFrame:
