@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from specloom.functions import units
-from specloom.operators import catalog, extract, history, material, products, relations, rules
+from specloom.operators import audit, catalog, extract, history, material, products, relations, rules
 from specloom.plans.registry import _FAMILY_SQL, FAMILIES, query
 from specloom.sources.tables import table
 
@@ -137,6 +137,38 @@ def d_units(spark, d):
     return read.select("l_orderkey", "l_linenumber", F.round("v.value", 4).alias("litres"), F.col("v.error").alias("volume_error"), F.round("t.value", 4).alias("sum_cm"), F.col("t.error").alias("sum_error"), F.round("s.value", 4).alias("velocity"))
 
 
+_F = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+_LOG_SQL = f"""s AS (SELECT event_id, user_id, event_type, props, event_id % ceil(count(*) OVER (PARTITION BY user_id) / 32.0)::BIGINT AS slice FROM events),
+  p AS (SELECT *, row_number() OVER (PARTITION BY user_id, slice ORDER BY event_id) - 1 AS place, sha256({" || ".join(map(_F, ("event_id", "user_id", "event_type", "props")))}) AS said FROM s)"""
+
+
+def _log(spark, d):
+    return audit.chained(table(spark, d, "events").select("event_id", "user_id", "event_type", "props"), ["user_id"], ["event_id"], "event_id", per=32)
+
+
+@query(f"""WITH RECURSIVE {_LOG_SQL}, c AS (SELECT user_id, slice, 0 AS n, sha256('1:0' || {_F("user_id")} || {_F("slice")}) AS head FROM p GROUP BY ALL
+    UNION ALL SELECT c.user_id, c.slice, n + 1, sha256(head || said) FROM c JOIN p ON p.user_id IS NOT DISTINCT FROM c.user_id AND p.slice = c.slice AND p.place = c.n)
+  SELECT user_id, slice, max(n)::BIGINT AS n, max_by(head, n) AS head FROM c GROUP BY ALL""")
+def d_audit_heads(spark, d):
+    """The heads of the chains of all events, tenant by tenant."""
+    return audit.heads(_log(spark, d), ["user_id"]).select("user_id", "slice", "n", "head")
+
+
+@query(f"""WITH {_LOG_SQL}, t AS (SELECT *, event_id % 97 = 5 AS altered, event_id % 103 = 7 AND event_id % 97 <> 5 AS forged, event_id % 101 = 3 AS gone FROM p),
+  w AS (SELECT *, coalesce(lag(place) OVER x, -1) + 1 AS due, coalesce(lag(forged) OVER x, false) AS after_forged FROM t WHERE NOT gone WINDOW x AS (PARTITION BY user_id, slice ORDER BY place)),
+  e AS (SELECT user_id, slice, count(*) AS n, coalesce(max(place) FILTER (NOT gone) + 1, 0) AS place, max_by(forged, place) FILTER (NOT gone) AS forged FROM t GROUP BY ALL)
+  SELECT user_id, slice, place, 'altered' AS kind FROM w WHERE altered UNION ALL SELECT user_id, slice, place, CASE WHEN due <> place THEN 'gap' ELSE 'unlinked' END FROM w WHERE due <> place OR after_forged
+  UNION ALL SELECT user_id, slice, place, 'ended' FROM e WHERE place <> n OR forged""")
+def d_audit_broken(spark, d):
+    """Where a log breaks of which rows were altered, altered together with their hash, and taken out."""
+    log = _log(spark, d)
+    other = F.when((F.col("event_id") % 97 == 5) | (F.col("event_id") % 103 == 7), "forged").otherwise(F.col("event_type"))
+    forged = log.filter("event_id % 101 != 3").withColumn("event_type", other)
+    own = F.sha2(F.concat("before", audit.digest(["event_id", "user_id", "event_type", "props"])), 256)
+    forged = forged.withColumn("hash", F.when((F.col("event_id") % 103 == 7) & (F.col("event_id") % 97 != 5), own).otherwise(F.col("hash")))
+    return audit.broken(forged, audit.heads(log, ["user_id"]), ["user_id"]).select("user_id", "slice", "place", "kind")
+
+
 @query(f"""SELECT category, list_position(['Pipe', 'Fitting', 'Valve', 'Sprinkler', 'Equipment', 'Support', 'Fastener', 'Accessory', 'Other', 'Unknown'], category)::INT AS ord FROM (SELECT DISTINCT {_FAMILY_SQL} AS category FROM part)""")
 def o_category_order(spark, d):
     """O2: the place of each category in the report."""

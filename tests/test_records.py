@@ -1,14 +1,17 @@
 """Rules, relations, versioned records, units, and pages of many lines, against plain Python."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 import time
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from specloom.functions import units
-from specloom.operators import extract, history, relations, rules, shared
+from specloom.operators import audit, extract, history, relations, rules, shared
 
 
 def test_levels_and_cycles(spark):
@@ -128,3 +131,36 @@ def test_a_page_of_many_lines(spark):
     began = time.time()
     assert len(extract.requirements(pages).collect()) == 8091 and len(extract.standards(pages).collect()) == 1
     assert time.time() - began < 60  # seconds; it took minutes when every hit looked through all lines
+
+
+def test_audit_log(spark, tmp_path):
+    """Chains against plain Python, then each kind of break; a batch is never written over."""
+    sha = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    rows = [(i, "é" if i % 3 else None, None if i % 5 == 0 else f"p{i}") for i in range(40)]
+    events = spark.createDataFrame(rows, "id long, tenant string, payload string").repartition(4)
+    audit.append(events, str(tmp_path), ["tenant"], ["id"], "id", 0, per=8)
+    audit.append(events.limit(0), str(tmp_path), ["tenant"], ["id"], "id", 1, per=8)
+    with pytest.raises(AnalysisException):
+        audit.append(events, str(tmp_path), ["tenant"], ["id"], "id", 0, per=8)
+    log, known = spark.read.parquet(f"{tmp_path}/log"), spark.read.parquet(f"{tmp_path}/heads")
+    got, want = log.collect(), {}
+    for tenant in ("é", None):
+        own = [r for r in rows if r[1] == tenant]
+        for cut in range(slices := -(-len(own) // 8)):
+            before = sha(*map(field, (0, tenant, cut)))
+            for place, r in enumerate(r for r in own if r[0] % slices == cut):
+                want[r] = (cut, place, before, before := sha(before, sha(*map(field, r))))
+    assert {(r.id, r.tenant, r.payload): (r.slice, r.place, r.before, r.hash) for r in got} == want and len(got) == 40
+    found = lambda df: sorted((r.tenant or "", r.slice, r.place, r.kind) for r in audit.broken(df, known, ["tenant"]).collect())
+    where = {r.id: (r.tenant or "", r.slice, r.place) for r in got}
+    assert found(log) == []
+    assert found(log.filter("id != 1")) == [(*where[1][:2], where[1][2] + 1, "gap")]
+    last = max((r for r in got if r.tenant and r.slice == 0), key=lambda r: r.place)
+    assert found(log.filter(F.col("id") != last.id)) == [("é", 0, last.place, "ended")]
+    assert found(log.filter("not (tenant <=> 'é' and slice = 0)")) == [("é", 0, 0, "ended")]
+    assert found(log.withColumn("payload", F.expr("if(id = 1, null, payload)"))) == [(*where[1], "altered")]
+    assert found(log.union(log.filter("id = 1"))) == [(*where[1], "repeated")]
+    forged = F.sha2(F.concat("before", audit.digest(["id", "tenant", "payload"])), 256)
+    assert found(log.withColumn("payload", F.expr("if(id = 1, 'x', payload)")).withColumn("hash", forged)) == [(*where[1][:2], where[1][2] + 1, "unlinked")]
+    assert audit.broken(log.limit(0), known.limit(0), ["tenant"]).collect() == []
