@@ -1,6 +1,7 @@
 """Benchmark decontamination with an FM-index per training shard (operator 4).
 
-A task cuts its documents into shards of about SHARD_WORDS words. Of each shard it builds an FM-index over word
+A task cuts its documents into shards of SHARD_WORDS words or, as each shard is searched for the whole benchmark, a quarter
+of the benchmark's, but at most MOST_SHARD_WORDS (an index takes about 100 bytes a word while it is built). Of each shard it builds an FM-index over word
 symbols (suffix order, Burrows-Wheeler transform in a wavelet matrix, sampled suffix positions), searches all
 benchmark windows backwards at once, locates the occurrences and merges them into spans to remove. A document lies in
 one shard, so nothing is shuffled. The alphabet is the benchmark's words; each other word, and each end of a document,
@@ -9,15 +10,20 @@ is a break that no window crosses.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specloom.llm import kit
+from specloom.llm.warc import store_of
 
-SHARD_WORDS = 250_000
-PHRASE_BYTES = 4 << 20
+SHARD_WORDS, MOST_SHARD_WORDS = 250_000, 2_000_000
+PHRASE_BYTES = 2 << 20
 SAMPLE_EVERY = 8
 
 
@@ -125,27 +131,32 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of benchmark items, which come in blocks, over one alphabet of all their words' hashes."""
+    """The benchmark as two tables of the shared folder: its alphabet, which a task holds, and its items' symbols in blocks,
+    which a task reads one after the other for each shard."""
+
+    def __init__(self, alphabet: str, blocks: str, window: int):
+        self.paths, self.window, self.known = (alphabet, blocks), window, None
 
-    def __init__(self, blocks: list[list[tuple[int, str | None]]], window: int):
-        hashed = [[(i, kit.hash_words_of(t, kit.ALNUM)) for i, t in items if i is not None] for items in blocks]
-        none, self.window = np.zeros(0, np.uint64), window
-        self.alphabet = np.unique(np.concatenate([none, *(w for rows in hashed for _, w in rows)]))
-        self.blocks = []
-        for rows in hashed:
-            symbols = (np.searchsorted(self.alphabet, np.concatenate([none, *(w for _, w in rows)])) + 1).astype(np.int32)
-            self.blocks.append((np.array([i for i, _ in rows], np.int64), symbols, np.cumsum([0, *(len(w) for _, w in rows)])))
+    @property
+    def alphabet(self) -> np.ndarray:
+        """Hashes of all words of the benchmark, sorted; read once in a task."""
+        if self.known is None:
+            parts = [group.column("word").to_numpy().view(np.uint64) for group in _row_groups(self.paths[0])]
+            self.known = np.sort(np.concatenate([np.zeros(0, np.uint64), *parts]))
+        return self.known
 
     def windows(self):
         """Yields (width, items, windows), those of one block at a time."""
-        for items, symbols, bounds in self.blocks:
-            lengths = np.diff(bounds)
-            widths = np.minimum(lengths, self.window)
-            for width in np.unique(widths[widths > 0]):
-                own = np.flatnonzero(widths == width)
-                count = lengths[own] - width + 1
-                start = np.repeat(bounds[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                yield width, np.repeat(items[own], count), symbols[start[:, None] + np.arange(width)]
+        for group in _row_groups(self.paths[1]):
+            for row in group.to_pylist():
+                items, bounds = (np.frombuffer(row[name], np.int64) for name in ("items", "bounds"))
+                symbols, lengths = np.frombuffer(row["symbols"], np.int32), np.diff(bounds)
+                widths = np.minimum(lengths, self.window)
+                for width in np.unique(widths):
+                    own = np.flatnonzero(widths == width)
+                    count = lengths[own] - width + 1
+                    start = np.repeat(bounds[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    yield width, np.repeat(items[own], count), symbols[start[:, None] + np.arange(width)]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.alphabet):
@@ -154,6 +165,66 @@ class Phrases:
         return np.where(self.alphabet[at] == hashes, at + 1, 0)
 
 
+def _row_groups(path: str):
+    files, root = store_of(path)
+    for name in sorted(f.path for f in files.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")):
+        with pq.ParquetFile(files.open_input_file(name)) as table:
+            for group in range(table.num_row_groups):
+                yield table.read_row_group(group)
+
+
+def _words_of(batches):
+    """item_id and word hashes of each row that has both."""
+    for batch in batches:
+        names = batch.column("item_id").to_pylist()
+        data, offsets = kit.text_buffers(batch.column("text"))
+        for first, last, hashes, bounds in kit.word_hashes(data, offsets, kit.ALNUM):
+            for r in range(first, last):
+                words = hashes[bounds[r - first] : bounds[r - first + 1]]
+                if names[r] is not None and len(words):
+                    yield names[r], words
+
+
+def _phrases(benchmark: DataFrame, window: int) -> tuple[Phrases, int]:
+    """The benchmark written to the shared folder, and its number of words. A block holds about PHRASE_BYTES of symbols;
+    longer items come in pieces that overlap, so that each window lies in one."""
+    spark, size = benchmark.sparkSession, max(window, PHRASE_BYTES // 4)
+
+    def alphabet(batches):
+        for batch in batches:
+            own = [w for _, w in _words_of([batch])]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)).view(np.int64))], ["word"])
+
+    words = f"{kit.shared_dir(spark)}/alphabet-{uuid.uuid4().hex}"
+    benchmark.mapInArrow(alphabet, "word long").distinct().write.parquet(words)
+    blocks = f"{kit.shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    held = Phrases(words, blocks, window)
+
+    def block(items, pieces):
+        bounds = np.cumsum([0, *(len(p) for p in pieces)])
+        row = (np.array(items, np.int64).tobytes(), bounds.tobytes(), np.concatenate(pieces).astype(np.int32).tobytes(), int(bounds[-1]))
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], ["items", "bounds", "symbols", "n"])
+
+    def packed(batches):
+        items, pieces, amount = [], [], 0
+        for item, hashes in _words_of(batches):
+            symbols = held.symbols(hashes)
+            for a in range(0, max(1, len(symbols) - window + 1), size - window + 1):
+                items.append(item)
+                pieces.append(symbols[a : a + size])
+                amount += len(pieces[-1])
+                if amount >= size:
+                    yield block(items, pieces)
+                    items, pieces, amount = [], [], 0
+        if items:
+            yield block(items, pieces)
+
+    made = benchmark.mapInArrow(packed, "items binary, bounds binary, symbols binary, n long")
+    made.write.option("parquet.block.row.count.limit", 1).parquet(blocks)  # a block to a row group, so a task reads one at a time
+    return held, int(spark.read.parquet(blocks).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+
+
 def _scan(symbols: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Position, length and item of each occurrence in a shard."""
     out = [(np.zeros(0, np.int64),) * 3]
@@ -206,20 +277,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. Null and empty texts have no words. An item
     of fewer words than window is one window; an item without words or id has none. Repeated rows, and those
     without a doc_id, count each for themselves; an empty benchmark hits nothing. Other columns are ignored. Each shard is searched for
-    the benchmark in blocks of at most PHRASE_BYTES of text: a task holds the whole benchmark as symbols, 4 bytes a word,
-    and the windows of one block.
+    the benchmark in blocks of PHRASE_BYTES: a task holds the benchmark's distinct words, 8 bytes each, and the windows of one
+    block, and nothing of it goes through the driver.
     """
     spark = documents.sparkSession
     kit.small_batches(spark)
     documents, benchmark = documents.select(F.col("doc_id").cast("long").alias("doc_id"), kit.row_key().alias("row_key"), "text"), benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    held = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    blocks = 1 + int(held) * 2 // PHRASE_BYTES if held > PHRASE_BYTES else 1
-
-    part = lambda block: benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-    shared = spark.sparkContext.broadcast(Phrases([[tuple(r) for r in part(block).collect()] for block in range(blocks)], window))
+    phrases, known = _phrases(benchmark, window)
+    shard = min(max(SHARD_WORDS, known // 4), MOST_SHARD_WORDS)
 
     def run(batches):
-        phrases, rows, words, amount = shared.value, [], [], 0
+        rows, words, amount = [], [], 0
         for batch in batches:
             names = list(zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), strict=True))
             data, offsets = kit.text_buffers(batch.column("text"))
@@ -229,7 +297,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
                     rows.append(names[r])
                     words.append(symbols[bounds[r - first] : bounds[r - first + 1]])
                     amount += len(words[-1]) + 1
-                if amount >= SHARD_WORDS:
+                if amount >= shard:
                     yield _shard_rows(rows, words, phrases)
                     rows, words, amount = [], [], 0
         if rows:

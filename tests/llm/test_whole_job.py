@@ -88,3 +88,22 @@ def test_blocks_of_the_benchmark_keep_each_row(spark, monkeypatch):
     assert rows() == want
     monkeypatch.setattr(decontaminate, "PHRASE_BYTES", 300)
     assert rows() == want
+
+
+def test_long_items_lie_in_several_blocks(spark, monkeypatch):
+    random.seed(8)
+    long = [f"w{random.randrange(40)}" for _ in range(700)]
+    items = {1: long, 2: long[100:112], 3: [f"v{i}" for i in range(83)], 4: ["w1", "gone"]}
+    texts = {i: random.choice([["x"], []]) + long[a : a + random.randrange(5, 60)] + ["y"] for i, a in enumerate(range(0, 690, 7))} | {200: long * 3, 201: [f"v{i}" for i in range(70, 83)]}
+    windows = {i: {tuple(w[j : j + 10]) for j in range(max(1, len(w) - 9))} for i, w in items.items()}
+
+    def plain(words):
+        found = {(i, j, j + k) for i, own in windows.items() for k in {len(w) for w in own} for j in range(len(words) - k + 1) if tuple(words[j : j + k]) in own}
+        return tuple(sorted({i for i, _, _ in found})), {p for _, a, b in found for p in range(a, b)}
+
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    for size in (decontaminate.PHRASE_BYTES, 40, 300):  # all in one block; pieces of one window; of 75 words
+        monkeypatch.setattr(decontaminate, "PHRASE_BYTES", size)
+        got = decontaminate.contamination(docs, bench).collect()
+        assert {r.doc_id: (tuple(r["items"]), {p for s in r.spans for p in range(*s)}) for r in got} == {i: plain(w) for i, w in texts.items()}
