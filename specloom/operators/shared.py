@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder that spark.checkpoint.dir names and reads it from there. A local master may do without one."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. A local master may do without one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         found = context.getConf().get("spark.checkpoint.dir")
         if not found and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(found or "/tmp/specloom-checkpoints")
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it from there."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

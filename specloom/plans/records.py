@@ -5,12 +5,16 @@ The capabilities are documented without code where they come from, so their sema
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from specloom.functions import units
-from specloom.operators import audit, catalog, extract, history, material, products, relations, rules
+from specloom.operators import audit, catalog, extract, history, material, products, relations, rules, trace
+from specloom.operators.shared import folder
 from specloom.plans.registry import _FAMILY_SQL, FAMILIES, query
 from specloom.sources.tables import table
+from specloom.streaming import ordered
 
 RULES = [
     ("bulk", 1, "active", "price", 1, "Raise Warning"), ("large", 1, "active", "price", 2, "Reject"), ("large", 2, "active", "price", 2, "Validate"), ("any", 1, "active", "price", 9, "Calculate"),
@@ -205,3 +209,47 @@ def p_queue_rows(spark, d):
     item = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("SIN"), F.col("p_brand").alias("manufacturer"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("rti")))
     made, _ = products.normalize(table(spark, d, "part").select(F.lit("i").alias("import_id"), item.alias("json")))
     return catalog.queue_rows(made, "list").select("product_no", "manufacturer", "source_document", "status", "raw_text")
+
+
+_PRICED = """WITH l AS (SELECT DISTINCT concat_ws('/', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, o_orderkey, c_custkey, c_nationkey
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IS NOT NULL)"""
+
+
+def _links(spark, d):
+    """Links of a run of three stages: what orders, customers and nations are worth, from line items up."""
+    lines, orders, customers = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
+    line = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    first = trace.links(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), "r1", "orders", "order_total", F.col("o_orderkey"), {"line": line})
+    second = trace.links(orders.join(customers, F.col("o_custkey") == F.col("c_custkey")), "r1", "customers", "customer_total", F.col("c_custkey"), {"order_total": F.col("o_orderkey")})
+    third = trace.links(customers, "r1", "nations", "nation_total", F.col("c_nationkey"), {"customer_total": F.col("c_custkey")})
+    return first.union(second).union(third)
+
+
+@query(f"""{_PRICED} SELECT c_nationkey::VARCHAR AS nation, 'line' AS name, 3 AS hops, count(DISTINCT id) AS n FROM l GROUP BY 1
+  UNION ALL SELECT c_nationkey::VARCHAR, 'order_total', 2, count(DISTINCT o_orderkey) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IS NOT NULL GROUP BY 1
+  UNION ALL SELECT c_nationkey::VARCHAR, 'customer_total', 1, count(DISTINCT c_custkey) FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1""")
+def d_run_trace(spark, d):
+    """Each nation's worth walked back to all customers, orders and line items that it was made of."""
+    start = table(spark, d, "customer").select(F.lit("r1").alias("run"), F.lit("nation_total").alias("name"), F.col("c_nationkey").alias("id")).filter("id is not null").distinct()
+    return trace.backward(_links(spark, d), start).groupBy(F.col("start_id").alias("nation"), "name", "hops").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'customers' AS stage, c_custkey::VARCHAR AS made_id, o_orderkey::VARCHAR AS used_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)
+  UNION SELECT 'nations', c_nationkey::VARCHAR, c_custkey::VARCHAR FROM customer WHERE c_nationkey IS NOT NULL AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+def d_unfounded_links(spark, d):
+    """Links to orders and customers whose worth no stage made, as they have no line or no order."""
+    line = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    sources = table(spark, d, "lineitem").select(F.lit("line").alias("name"), line.alias("id"))
+    return trace.unfounded(_links(spark, d), sources).select("stage", "made_id", "used_id")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL),
+  o AS (SELECT user_id, event_id, event_type, us, row_number() OVER w AS place, lag(event_type) OVER w AS before FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id::VARCHAR))
+  SELECT user_id, event_id, event_type, place, before FROM o WHERE us <= (SELECT (max(us) // 1000 - 3600000) * 1000 FROM e)""")
+def d_events_in_order(spark, d):
+    """Events as state: all events as a stream that delivers each twice, told once and in order per user as the watermark passes."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    path = f"{folder(spark)}/events-{uuid.uuid4().hex}"
+    told = ordered.in_order(stream.union(stream))
+    told.writeStream.format("parquet").option("path", f"{path}/told").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{path}/told").select(F.col("key").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), "event_type", "place", "before")

@@ -11,7 +11,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from specloom.functions import units
-from specloom.operators import audit, extract, history, relations, rules, shared
+from specloom.operators import audit, extract, history, relations, rules, shared, trace
+from specloom.streaming import ordered
+from specloom.streaming import pages as stream
 
 
 def test_levels_and_cycles(spark):
@@ -164,3 +166,52 @@ def test_audit_log(spark, tmp_path):
     forged = F.sha2(F.concat("before", audit.digest(["id", "tenant", "payload"])), 256)
     assert found(log.withColumn("payload", F.expr("if(id = 1, 'x', payload)")).withColumn("hash", forged)) == [(*where[1][:2], where[1][2] + 1, "unlinked")]
     assert audit.broken(log.limit(0), known.limit(0), ["tenant"]).collect() == []
+
+
+def test_traces(spark, tmp_path, monkeypatch):
+    """Walks over random links, some in circles, against plain Python; hot rows joined apart give the same."""
+    random.seed(11)
+    rows = [(random.choice("ab"), random.choice("xyz"), str(random.randrange(6)), random.choice("xyz"), str(random.randrange(6))) for _ in range(40)]
+    found = spark.createDataFrame([(r[0], "s", *r[1:]) for r in rows * 2], "run string, stage string, made string, made_id string, used string, used_id string").distinct()
+    start = spark.createDataFrame([("a", "x", "1"), ("a", "x", "1"), ("b", "y", "2"), ("b", "z", "77"), (None, "x", "1")], "run string, name string, id string")
+
+    def walk(run, name, key, back=True):
+        seen, front, hops = {(name, key): 0}, {(name, key)}, 0
+        while front:
+            hops += 1
+            front = {b for r, *ends in rows if r == run for a, b in [(tuple(ends[:2]), tuple(ends[2:]))[:: 1 if back else -1]] if a in front} - seen.keys()
+            seen |= dict.fromkeys(front, hops)
+        return {(name, key, run, *k, h) for k, h in seen.items() if h}
+
+    for heavy in (trace.HEAVY, 2):
+        monkeypatch.setattr(trace, "HEAVY", heavy)
+        for go, back in ((trace.backward, True), (trace.forward, False)):
+            got = [tuple(r[c] for c in ("start", "start_id", "run", "name", "id", "hops")) for r in go(found, start).collect()]
+            assert len(got) == len(set(got)) and set(got) == walk("a", "x", "1", back) | walk("b", "y", "2", back) | walk("b", "z", "77", back)
+    made = {(r[0], r[1], r[2]) for r in rows}
+    assert {(r.run, r.used, r.used_id) for r in trace.unfounded(found, spark.createDataFrame([("x", "0")], "name string, id string")).collect()} == {(r[0], r[3], r[4]) for r in rows if r[3:] != ("x", "0") and (r[0], r[3], r[4]) not in made}
+    assert trace.backward(found.limit(0), start).isEmpty()
+    run = spark.createDataFrame([("a", "v2", "me")], "run string, rule_version string, user string")
+    trace.record(run, found, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/links").count() == found.filter("run = 'a'").count() and spark.read.parquet(f"{tmp_path}/runs").first().rule_version == "v2"
+    with pytest.raises(AnalysisException):
+        trace.record(run, found, str(tmp_path))
+
+
+def test_events_in_order(spark, tmp_path):
+    """Three deliveries: out of order, repeated, late, tied; each event once and in place, by what the watermark has passed."""
+    at = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+    batches = [
+        [("e3", "u", "c", at(30)), ("e1", "u", "a", at(10)), ("e1", "u", "a", at(10)), ("f1", "v", None, at(5)), (None, "u", "n", at(1)), ("e9", None, "n", at(1)), ("e8", "u", "n", None)],
+        [("e2", "u", "b", at(20)), ("e3", "u", "c", at(30)), ("f2", "v", "y", at(200)), ("f0", "v", "x", at(5))],
+        [("late", "u", "z", at(15)), ("e1", "u", "a", at(10)), ("e4", "u", "d", at(210)), ("f3", "v", "w", at(400))],
+        [("e5", "u", "e", at(500))],
+    ]
+    schema = "event_id string, user_id string, event_type string, ts timestamp"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        flow = stream.read(spark, f"{tmp_path}/in/*", spark.createDataFrame(rows, schema).schema)
+        told = ordered.in_order(flow).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state")
+        told.trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.key, r.place, r.event_id, r.event_type, r.before) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [("u", 1, "e1", "a", None), ("u", 2, "e2", "b", "a"), ("u", 3, "e3", "c", "b"), ("u", 4, "e4", "d", "c"), ("v", 1, "f0", "x", None), ("v", 2, "f1", None, "x"), ("v", 3, "f2", "y", None), ("v", 4, "f3", "w", "y")]
