@@ -46,7 +46,7 @@ def material_lines(items: DataFrame) -> DataFrame:
     post = empty(F.col("post_number"))
     href = F.concat(F.lit("/projects/demo/upload?"), F.concat_ws("&", F.concat(F.lit("postnr="), F.url_encode(post)), F.concat(F.lit("page="), "source_page")))
     return items.select(
-        "doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("item_ord")).alias("line"), kind.alias("category"), kind.alias("product_category"), F.col("description").alias("requirement"), F.when(matched, name).otherwise("Missing database product").alias("selected_product"),
+        "doc_id", F.col("id").alias("item_id"), F.row_number().over(Window.partitionBy("doc_id").orderBy("item_ord")).alias("line"), kind.alias("category"), kind.alias("product_category"), F.col("description").alias("requirement"), F.when(matched, name).otherwise("Missing database product").alias("selected_product"),
         F.when(matched, "Ahlsell").otherwise("Unassigned").alias("supplier"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"), F.coalesce("unit", F.lit("item")).alias("unit"), F.round("confidence").cast("int").alias("confidence"), notes.alias("notes"), "post_number", "source_page", href.alias("document_href"),
         F.concat(F.lit("Page "), "source_page", F.coalesce(F.concat(F.lit(", post "), post), F.lit(""))).alias("source_reference"), F.coalesce("source_text_block", "source_text").alias("source_text"), sized.alias("dimension"), F.when(matched, name).alias("matched_product"),
         F.when(matched, F.concat(F.lit("db-"), slug(kind), F.lit("-"), slug(F.coalesce(sized, "description")))).alias("product_id"), (~matched).alias("missing_from_database"),
@@ -55,12 +55,22 @@ def material_lines(items: DataFrame) -> DataFrame:
 
 def product_matches(materials: DataFrame) -> DataFrame:
     """The matched material lines as product resolutions."""
+    return matched_lines(materials).select(*_resolution())
+
+
+def with_matches(materials: DataFrame) -> DataFrame:
+    """materials with the product resolution of each line as the struct match, null where there is none: what a join with
+    product_matches by document and line would give, without reading the lines twice."""
+    return materials.withColumn("match", F.when(is_matched(F.col("product_id"), F.col("matched_product")), F.struct(*_resolution())))
+
+
+def _resolution() -> list:
     size = F.coalesce(F.concat(F.lit(" "), F.nullif("dimension", F.lit(""))), F.lit(""))
-    return matched_lines(materials).select(
+    return [
         "doc_id", F.concat(F.lit("match-"), "line").alias("id"), "category", "requirement", F.coalesce("source_text", "requirement").alias("extracted"), "post_number", "source_page", "document_href", "source_reference", "matched_product", "product_id",
         F.array(*(F.concat(F.lit(s), size) for s in SUPPLIERS)).alias("compatible_products"), F.lit("Matched against the active uploaded document using category, dimension and confidence.").alias("compliance"), "confidence",
         F.coalesce("matched_product", "selected_product").alias("selected_product"), F.when(F.col("confidence") >= 92, "Verified").otherwise("Needs review").alias("status"),
-    )
+    ]
 
 
 def matched_lines(materials: DataFrame) -> DataFrame:

@@ -385,10 +385,8 @@ def p_notes_and_matches(spark, d):
     tail = F.concat(F.lit(" stk "), F.col("q"))
     forms = (F.concat(F.lit("SITE WORKS\n"), post, F.lit(" Pipe DN50"), tail), F.concat(F.lit("fm\n"), post, F.lit(" Pipe DN50"), tail), F.concat(F.lit("Dry riser\nnfpa 13, UL\n"), post, F.lit(" Pipe DN50"), tail), *(F.concat(post, F.lit(" Clamp"), tail) for _ in range(4)))
     items = extract.line_items(_one_line_pages(spark, d, F.get(F.array(*forms), F.col("n") - 1)))
-    lines = material.material_lines(items)
-    matches = material.product_matches(lines).select("doc_id", F.array_join("compatible_products", "|").alias("compatible_products"), "status")
-    ids = items.select("doc_id", "id")
-    return lines.select("doc_id", "notes", "matched_product", "product_id").join(matches, "doc_id", "left").join(ids, "doc_id")
+    lines = material.with_matches(material.material_lines(items))
+    return lines.select("doc_id", "notes", "matched_product", "product_id", F.array_join("match.compatible_products", "|").alias("compatible_products"), "match.status", F.col("item_id").alias("id"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity, flags, CASE WHEN data THEN 'missing data' WHEN score < 88 OR flags <> 'high-confidence' OR kind = 'unknown' OR (kind = 'pipe' AND NOT sized) THEN 'needs review' ELSE 'high confidence' END AS badge, score FROM (
