@@ -66,7 +66,10 @@ def system_name(text: Column) -> Column:
 
 def dimensions(description: Column) -> Column:
     """Normalized dimensions, by kind, then by place, each once."""
-    found = F.concat(*(F.regexp_extract_all(description, F.lit(p), 0) for p in DIMENSIONS))
+    low, none = F.lower(description), F.array().cast("array<string>")
+    # A text without the mark that a form needs isn't searched for it.
+    marks = (low.contains("dn"), low.contains("="), low.contains("°"), low.rlike("[øo]"), low.contains("x"), low.contains("mm"))
+    found = F.when(description.isNotNull(), F.concat(*(F.when(mark, F.regexp_extract_all(description, F.lit(p), 0)).otherwise(none) for p, mark in zip(DIMENSIONS, marks, strict=True))))
 
     def tidy(x):
         for pattern, to in ((f"{S}+", ""), ("(?i)^dn", "DN"), ("(?i)^k=", "K="), ("(?i)^od", "OD")):
@@ -112,7 +115,7 @@ def review_flags(kind: Column, description: Column, dimension: Column, post: Col
         F.when(kind == "unknown", "unknown-category"),
         F.when((F.coalesce(quantity, F.lit(0.0)) == 0) | empty(unit), "missing-quantity-or-unit"),
         F.when(kind.isin(*NEED_DIMENSION) & dimension.isNull(), "missing-dimension"),
-        F.when(~looks_material(description) & empty(post), "weak-material-evidence"),
+        F.when(empty(post) & ~looks_material(description), "weak-material-evidence"),
     ))
     return F.when(F.size(flags) > 0, flags).otherwise(F.array(F.lit("high-confidence")))
 

@@ -24,6 +24,10 @@ MISREAD = (
 )
 
 
+#: Found in every trimmed text that cleaning would change.
+UNCLEAN = f"[{''.join(sorted({bad[0] for bad, _ in MISREAD}))}\u2013\u2014\r\t]|  "
+
+
 def trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^{S}+|{S}+$", "")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specloom.functions import classify as c
-from specloom.functions.text import B, S, clean, first, lines, slug, squeeze, trim
+from specloom.functions.text import UNCLEAN, B, S, clean, first, lines, slug, squeeze, trim
 from specloom.operators.assemble import ROW, material_rows
 
 REQUIREMENTS = (
@@ -125,10 +125,11 @@ def _page_entries(pages: DataFrame) -> DataFrame:
     entry = lambda code, pos, row_ord, r: F.struct(code.alias("code"), pos.cast("int").alias("pos"), row_ord.cast("int").alias("row_ord"), r.alias("r"))
     own = lines(F.col("text"))
     lined = pages.select("doc_id", "page_ord", "page_number", "text", own.alias("lines"))
+    cleaned = F.when(F.col("text").rlike(UNCLEAN), F.transform("lines", clean)).otherwise(F.col("lines"))
     codes = F.transform(F.regexp_extract_all("text", F.lit(STANDARD_HIT), 1), c.standard_code)
     read = lined.select(
         "doc_id", "page_ord", "page_number", F.try_element_at(F.filter(F.transform("lines", c.system_name), lambda x: x.isNotNull()), F.lit(-1)).alias("page_system"),
-        F.col("text").rlike(f"(?iu){dict((k, p) for k, _, p in c.SYSTEMS)['sprinkler-a10']}").alias("a10"), codes.alias("codes"), material_rows(F.col("text"), F.transform(F.transform("lines", clean), c.title_of_clean)).alias("rows"),
+        F.col("text").rlike(f"(?iu){dict((k, p) for k, _, p in c.SYSTEMS)['sprinkler-a10']}").alias("a10"), codes.alias("codes"), material_rows(F.col("text"), F.transform(cleaned, c.title_of_clean)).alias("rows"),
     )
     named = F.transform(F.array_distinct("codes"), lambda x: entry(x, F.array_position("codes", x), empty("int"), empty(ROW)))
     items = F.filter(F.transform("rows", lambda r, i: entry(empty("string"), empty("int"), i, r)), lambda e: F.length(e.r.description) >= 3)
