@@ -13,6 +13,7 @@ MANUFACTURER = ("Leverant\u00f8r", "Leverantor", "Leverant\u00f6r", "Leverant\u0
 SUB_CATEGORY = ("Utf\u00f8relse", "Utforelse", "Utf\u00f6relse", "Utf\u00c3\u00b8relse", "sub_category", "subCategory")
 DATASHEET = ("Datablad", "datasheet_url", "datasheetUrl", "source_url")
 COLORS = ("color", "colour", "colors", "colours", "bulbColor", "bulbColour", "frameColor", "frameColour", "finish", "finishColor", "coverPlateColor", "coverPlateColour")
+SHARE = 4  # tasks for each core
 APPROVAL_KEYS = {"ceMark": "CE", "fmApproved": "FM", "ulListed": "UL"}
 
 
@@ -34,8 +35,13 @@ def _text(v: Column) -> Column:
     return F.when(_is(v, "ARRAY"), F.array_join(F.transform(_array(v), lambda x: F.coalesce(js_text(x), F.lit(""))), ",")).when(_is(v, "OBJECT"), "[object Object]").otherwise(js_text(v))
 
 
+def _there(record: Column, keys) -> Column:
+    """Values of those keys that the record has, so that what follows isn't worked out for names that it lacks."""
+    return F.filter(F.array(*(_at(record, k) for k in keys)), lambda x: x.isNotNull())
+
+
 def read_text(record: Column, keys) -> Column:
-    return F.get(F.filter(F.transform(F.array(*(_at(record, k) for k in keys)), lambda x: blank_to_null(_text(x))), lambda x: x.isNotNull()), 0)
+    return F.get(F.filter(F.transform(_there(record, keys), lambda x: blank_to_null(_text(x))), lambda x: x.isNotNull()), 0)
 
 
 def _factor(v: Column) -> Column:
@@ -76,7 +82,7 @@ def _color_values(v: Column) -> Column:
 
 
 def colors(record: Column) -> Column:
-    own = lambda r: F.flatten(F.transform(F.array(*(_at(r, k) for k in COLORS)), _color_values))
+    own = lambda r: F.flatten(F.transform(_there(r, COLORS), _color_values))
     rated = F.flatten(F.transform(F.coalesce(temperature_ratings(record), F.array().cast("array<variant>")), own))
     return join_distinct(F.concat(own(record), own(_at(record, "physicalCharacteristics")), rated))
 
@@ -101,8 +107,11 @@ def normalize(imports: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A text is an envelope with products, an array, or one item; an item may wrap its data, and may list sprinklerModels,
     each a product. Rows are numbered i or i.j from 1. Text that isn't JSON gives one error with row 0.
+
+    Imports are dealt over all cores first: their table is small beside the work on it, so it may be read by one task.
     """
-    root = imports.select("import_id", "json", F.try_parse_json("json").alias("v"))
+    dealt = imports.select("import_id", "json").repartition(SHARE * imports.sparkSession.sparkContext.defaultParallelism)
+    root = dealt.select("import_id", "json", F.try_parse_json("json").alias("v"))
     listed = _is(_at(F.col("v"), "products"), "ARRAY") & _is(F.col("v"), "OBJECT")
     items = F.when(listed, _array(_at(F.col("v"), "products"))).when(_is(F.col("v"), "ARRAY"), _array(F.col("v"))).otherwise(F.array("v"))
     # The items' own texts, cut once, as VARIANT doesn't keep the order of keys.
