@@ -58,6 +58,9 @@ def evaluate(facts: DataFrame, key: list[str], rules: DataFrame, conditions: Dat
     them. A condition compares number, or text where the condition has one; a fact that is missing or null meets none. Where
     all hold, the rule fires: of those of its group the one of smallest priority is executed (ties: by rule_id), the others
     are overruled. A rule that doesn't fire is skipped; failed names its conditions that don't hold, each as `fact op value`.
+
+    Facts are dealt once, by a hash of their key (a float in a key would be dealt again for each step); counting and ranking
+    need no other shuffle where rules and conditions go to all tasks.
     """
     sizes = conditions.groupBy("rule_id").agg(F.count("*").alias("n_conditions"))
     wanted = cut(conditions.join(sizes, "rule_id").select("rule_id", "n_conditions", "fact", "op", F.col("number").alias("bound"), F.col("text").alias("word")))
@@ -65,13 +68,14 @@ def evaluate(facts: DataFrame, key: list[str], rules: DataFrame, conditions: Dat
     for name, holds in OPERATIONS.items():
         same = F.when(F.col("word").isNotNull(), holds(F.col("text"), F.col("word"))).otherwise(holds(F.col("number"), F.col("bound")))
         met = F.when(F.col("op") == name, F.coalesce(same, F.lit(False))).otherwise(met)
-    judged = join_few(facts, wanted, ["fact"], F.struct(*key), 120).withColumn("met", met)
-    counted = judged.groupBy(*key, "rule_id").agg(F.count_if("met").alias("n_met"), F.max("n_conditions").alias("n_conditions"), F.collect_set(F.when(F.col("met"), F.xxhash64("fact", "op", "bound", "word"))).alias("_held"))
+    dealt = facts.withColumn("_k", F.xxhash64(*key)).repartition("_k")
+    judged = join_few(dealt, wanted, ["fact"], F.struct(*key), 120).withColumn("met", met)
+    counted = judged.groupBy("_k", *key, "rule_id").agg(F.count_if("met").alias("n_met"), F.max("n_conditions").alias("n_conditions"), F.collect_set(F.when(F.col("met"), F.xxhash64("fact", "op", "bound", "word"))).alias("_held"))
     expected = cut(wanted.groupBy("rule_id").agg(F.collect_set(F.struct(F.concat_ws(" ", "fact", "op", F.coalesce("word", F.col("bound").cast("string"))).alias("said"), F.xxhash64("fact", "op", "bound", "word").alias("h"))).alias("_all")))
     told = rules.join(expected, "rule_id").select("rule_id", "version", "rule_group", "priority", "action", "_all")
     full = join_few(counted, told, ["rule_id"], F.struct(*key), 400)
     fires = F.col("n_met") == F.col("n_conditions")
-    first = F.row_number().over(Window.partitionBy(*key, "rule_group", fires).orderBy("priority", "rule_id"))
+    first = F.row_number().over(Window.partitionBy("_k", *key, "rule_group", fires).orderBy("priority", "rule_id"))
     outcome = F.when(~fires, "skipped").when(F.col("_place") == 1, "executed").otherwise("overruled")
     failed = F.array_sort(F.transform(F.filter("_all", lambda c: ~F.array_contains("_held", c.h)), lambda c: c.said))
     return full.withColumn("_place", first).select(*key, "rule_id", "version", "rule_group", outcome.alias("outcome"), F.when(outcome == "executed", F.col("action")).alias("action"), "n_met", "n_conditions", failed.alias("failed"))
