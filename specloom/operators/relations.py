@@ -8,7 +8,9 @@ import sys
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specloom.operators.shared import cut, join_few
+from specloom.operators.shared import by_count, cut, join_few
+
+WIDTH = 96  # bytes of an id or edge as a task holds it
 
 
 def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
@@ -46,13 +48,16 @@ def closure(edges: DataFrame) -> DataFrame:
     onward = steps.select(F.col("source").alias("target"), F.col("target").alias("next"), F.col("valid_from").alias("next_from"), F.col("valid_to").alias("next_to"))
     names = ["source", "target", "valid_from", "valid_to"]
     known = found = steps.withColumn("hops", F.lit(1))
+    n_steps = n_known = n = steps.count()
     hops = 1
-    while not found.isEmpty():
+    while n:
         hops += 1
-        longer = found.join(onward, "target").select("source", F.col("next").alias("target"), F.greatest("valid_from", "next_from").alias("valid_from"), F.least("valid_to", "next_to").alias("valid_to"))
+        met = by_count(found, n, WIDTH).join(onward, "target") if n < n_steps else found.join(by_count(onward, n_steps, WIDTH), "target")
+        longer = met.select("source", F.col("next").alias("target"), F.greatest("valid_from", "next_from").alias("valid_from"), F.least("valid_to", "next_to").alias("valid_to"))
         longer = longer.filter("source <> target and valid_from < valid_to").distinct()
-        found = cut(longer.join(known.select(*names), names, "left_anti").withColumn("hops", F.lit(hops)))
-        known = known.unionByName(found)
+        found = cut(longer.join(by_count(known.select(*names), n_known, WIDTH), names, "left_anti").withColumn("hops", F.lit(hops)))
+        known, n = known.unionByName(found), found.count()
+        n_known += n
     return known.withColumn("valid_to", F.nullif("valid_to", forever))
 
 

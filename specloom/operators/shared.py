@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_count(side: DataFrame, n: int, width: int) -> DataFrame:
+    """A join's side of n rows of about width bytes: below BROADCAST_BYTES it goes to all tasks, else both sides are dealt by
+    their keys. Left alone, Spark chooses by sizes that files and checkpoints understate, and sends large sides by the driver."""
+    return side.hint("broadcast" if n * width <= BROADCAST_BYTES else "merge")
+
+
 def join_few(df: DataFrame, side: DataFrame, on: list[str], spread: Column, width: int, how: str = "inner") -> DataFrame:
     """df joined with a side of few rows of about width bytes, on columns of few values.
 
