@@ -18,21 +18,24 @@ def levels(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     one. needs is (id, needed); edges to nodes that aren't there count for nothing, repeated ones once.
 
     Peels the edge table: each round takes the nodes without an open need and drops the edges to them, so edges are read
-    once for each level and nothing is ordered on the driver.
+    once for each level and nothing is ordered on the driver. Only nodes that lost an edge are looked at for the next round.
     """
-    known = nodes.select("id").distinct()
-    edges = needs.select("id", "needed").distinct().join(known.withColumnRenamed("id", "needed"), "needed", "left_semi").join(known, "id", "left_semi")
-    left, edges, done, level = cut(known), cut(edges), None, 0
-    while True:
-        free = left.join(edges.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
-        free = cut(free)
-        if free.isEmpty():
-            rest = left.withColumn("level", F.lit(None).cast("int"))
-            return rest if done is None else done.unionByName(rest)
-        done = free if done is None else done.unionByName(free)
-        left = cut(left.join(free, "id", "left_anti"))
-        edges = cut(edges.join(free.select(F.col("id").alias("needed")), "needed", "left_anti"))
+    known = cut(nodes.select("id").distinct())
+    n, edges = known.count(), needs.select("id", "needed").distinct()
+    for end in ("needed", "id"):
+        edges = edges.join(by_count(known.select(F.col("id").alias(end)), n, WIDTH), end, "left_semi")
+    edges, done, level = cut(edges), known.limit(0).withColumn("level", F.lit(0)), 0
+    free = cut(known.join(by_count(edges.select("id"), edges.count(), WIDTH), "id", "left_anti"))
+    while n := free.count():
+        done = done.unionByName(free.withColumn("level", F.lit(level)))
+        marked = cut(edges.join(by_count(free.select(F.col("id").alias("needed"), F.lit(True).alias("met")), n, WIDTH), "needed", "left"))
+        met, edges = cut(marked.filter("met").select("id").distinct()), marked.filter("met is null").drop("met")
+        n = met.count()
+        waiting = edges.select("id").join(by_count(met, n, WIDTH), "id", "left_semi").distinct()
+        free = cut(met.join(by_count(waiting, n, WIDTH), "id", "left_anti"))
         level += 1
+    rest = known.filter("id is not null").join(by_count(done.select("id"), done.count(), WIDTH), "id", "left_anti")
+    return done.unionByName(rest.withColumn("level", F.lit(None).cast("int")))
 
 
 def closure(edges: DataFrame) -> DataFrame:
