@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes df as a Parquet table to the shared folder and reads it from there: less than cut writes, read by column."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def by_count(side: DataFrame, n: int, width: int) -> DataFrame:
     """A join's side of n rows of about width bytes: below BROADCAST_BYTES it goes to all tasks, else both sides are dealt by
     their keys. Left alone, Spark chooses by sizes that files and checkpoints understate, and sends large sides by the driver."""
