@@ -96,7 +96,12 @@ def forward(found: DataFrame, start: DataFrame) -> DataFrame:
 
 def unfounded(found: DataFrame, sources: DataFrame) -> DataFrame:
     """Links whose input is neither a row of sources (name, id) nor made in the same run."""
-    given = sources.select(F.col("name").alias("used"), F.col("id").cast("string").alias("used_id")).distinct()
-    made = found.select("run", F.col("made").alias("used"), F.col("made_id").alias("used_id")).distinct()
-    open_ = found.select(*_IN).distinct().join(given, ["used", "used_id"], "left_anti").join(made, _IN, "left_anti")
-    return found.join(open_, _IN, "left_semi")
+    found = stored(found)
+    n = found.count()
+    given = sources.select(F.col("name").alias("used"), F.col("id").cast("string").alias("used_id"))
+    made = found.select("run", F.col("made").alias("used"), F.col("made_id").alias("used_id"))
+    open_ = _meet(found.select(*_IN).dropna(), n, given, given.count(), ["used", "used_id"], "left_anti").distinct()
+    open_ = stored(_meet(open_, n, made, n, _IN, "left_anti"))
+    names = open_.select("used").distinct().limit(NAMES + 1).collect()
+    asked = found.filter(F.col("used").isin([r.used for r in names])) if len(names) <= NAMES else found
+    return _meet(asked, n, open_, open_.count(), _IN, "left_semi")
