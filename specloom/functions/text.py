@@ -46,7 +46,8 @@ def clean(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Trimmed lines that aren't empty, in order."""
-    return F.filter(F.transform(F.split(c, "\n"), trim), lambda x: x != "")
+    ends = lambda x: F.left(x, F.lit(1)).rlike(S) | F.right(x, F.lit(1)).rlike(f"[{SPACES}\u0085]")
+    return F.filter(F.transform(F.split(c, "\n"), lambda x: F.when(ends(x), trim(x)).otherwise(x)), lambda x: x != "")
 
 
 def slug(c: Column) -> Column:

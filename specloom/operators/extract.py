@@ -6,6 +6,8 @@ page numbers need not follow. Each result is a flat DataFrame keyed by doc_id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,19 @@ def _to_two_digits(place):
 
 
 REQUIREMENT_FORMS = (_from_each_digit, _as_it_is, _as_it_is, _from_each_digit, _to_two_digits)
-STANDARD_HIT = f"(?i){B}({c.STANDARD}){B}"
+#: Where a match of each may start, and what stands in lower case in every line that holds one's text.
+REQUIREMENT_SIGNS = (("0-9", ("bar",)), ("Q", ("qr",)), ("K", ("80", "115")), ("0-9", ("°",)), ("D", ("dn",)))
+STANDARD_SIGNS = ("NFUV", ("nfpa", "12845", "fm", "ul", "vds"))
+
+
+def _from_start(starts: str, pattern: str) -> str:
+    """The same matches, tried only where one may start; patterns start and end with word characters."""
+    body, word = pattern.removeprefix("(?i)"), "[A-Za-z0-9_]"
+    body = f"(?<!{word}){body[len(B) : -len(B)]}(?!{word})" if body.startswith(B) else f"(?:{body})"
+    return f"(?i)(?=[{starts}]){body}"
+
+
+STANDARD_HIT = _from_start(STANDARD_SIGNS[0], f"(?i){B}({c.STANDARD}){B}")
 
 
 def normalize_pages(pages: DataFrame) -> DataFrame:
@@ -69,7 +83,7 @@ def systems(pages: DataFrame) -> DataFrame:
 
 def _page_hits(pages: DataFrame, rules) -> DataFrame:
     """doc_id, page_ord, page_number, kind, pos, value, source_text: the first hit of each key on each page, for rules of
-    (pattern, group, value of a hit, key of a value, loose pattern, forms).
+    (pattern, group, value of a hit, key of a value, loose pattern, forms, what stands in each line that the loose one finds).
 
     source_text is the first line that holds the hit's text, even within a longer word; a hit that no line holds has its
     value there. A page is read once: the loose pattern finds all places of a line where a hit's text may stand, forms the
@@ -83,20 +97,23 @@ def _page_hits(pages: DataFrame, rules) -> DataFrame:
         return F.transform(F.regexp_extract_all("text", F.lit(pattern), group), lambda h, pos: entry(i, F.lower(h), F.struct(pos.alias("pos"), value(h).alias("value"), key(value(h)).alias("key")), none))
 
     def places(line, at):
-        def of_rule(i, loose, forms):
-            texts = F.flatten(F.transform(F.regexp_extract_all(F.lower(line), F.lit(loose), 0), forms))
-            return F.transform(texts, lambda form: entry(i, form, none, F.struct(at.alias("line_idx"), line.alias("line"))))
+        def of_rule(i, loose, forms, signs):
+            low = F.lower(line)
+            texts = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(loose), 0), forms))
+            found = F.transform(texts, lambda form: entry(i, form, none, F.struct(at.alias("line_idx"), line.alias("line"))))
+            return F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(sign)) for sign in signs)), found).otherwise(F.array())
 
         each = [of_rule(i, *rule[4:]) for i, rule in enumerate(rules)]
         return F.concat(*each)
 
-    found = pages.select(*page, F.inline(F.concat(*(hits(i, *rule) for i, rule in enumerate(rules)), F.flatten(F.transform(lines(F.col("text")), places)))))
+    # Pages are dealt over all cores, as a file of 128 MB of packed text would be one task's work.
+    found = pages.repartition(*page).select(*page, F.inline(F.concat(*(hits(i, *rule) for i, rule in enumerate(rules)), F.flatten(F.transform(lines(F.col("text")), places)))))
     met = found.groupBy(*page, "kind", "form").agg(F.min("hit").alias("hit"), F.min("at").alias("at")).filter("hit is not null")
     first_ = met.groupBy(*page, "kind", "hit.key").agg(F.min(F.struct("hit.pos", "hit.value", F.coalesce("at.line", "hit.value").alias("source_text"))).alias("h"))
     return first_.select(*page, "kind", "h.*")
 
 
-STANDARD_RULE = (STANDARD_HIT, 1, c.standard_code, lambda code: code, f"(?i){c.STANDARD}", _as_it_is)
+STANDARD_RULE = (STANDARD_HIT, 1, c.standard_code, lambda code: code, _from_start(STANDARD_SIGNS[0], f"(?i){c.STANDARD}"), _as_it_is, STANDARD_SIGNS[1])
 
 
 def standards(pages: DataFrame) -> DataFrame:
@@ -171,7 +188,7 @@ def requirements(pages: DataFrame) -> DataFrame:
     group is 0 for standards and 1 for the others. Pages are read once for both.
     """
     value = lambda hit: trim(F.regexp_replace(squeeze(hit), rf"(?i)DN{S}+", "DN"))
-    own = [(pattern, 0, value, slug, pattern.replace(B, ""), forms) for (_, pattern, _), forms in zip(REQUIREMENTS, REQUIREMENT_FORMS, strict=True)]
+    own = [(_from_start(starts, pattern), 0, value, slug, _from_start(starts, pattern.replace(B, "")), forms, signs) for (_, pattern, _), forms, (starts, signs) in zip(REQUIREMENTS, REQUIREMENT_FORMS, REQUIREMENT_SIGNS, strict=True)]
     found = _page_hits(pages, [STANDARD_RULE, *own])
     rule = lambda i, standard: F.get(F.array(F.lit(standard), *(F.lit(r[i]) for r in REQUIREMENTS)), F.col("kind"))
     is_standard = F.col("kind") == 0
