@@ -215,3 +215,31 @@ def test_events_in_order(spark, tmp_path):
         told.trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.key, r.place, r.event_id, r.event_type, r.before) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("u", 1, "e1", "a", None), ("u", 2, "e2", "b", "a"), ("u", 3, "e3", "c", "b"), ("u", 4, "e4", "d", "c"), ("v", 1, "f0", "x", None), ("v", 2, "f1", None, "x"), ("v", 3, "f2", "y", None), ("v", 4, "f3", "w", "y")]
+
+
+def test_keys_share_buckets_and_keep_their_order(spark, tmp_path):
+    """Many keys to a bucket, five deliveries: as told key by key, and the store holds buckets, not keys."""
+    random.seed(7)
+    start, hour, known, seen, want, passed = dt.datetime(2024, 1, 1), 3600, {}, {}, {}, None
+    schema = "event_id string, user_id string, event_type string, ts timestamp"
+    for i in range(5):
+        fresh = [(f"e{i}-{n}", f"u{random.randrange(40)}", random.choice(["a", "b", "ö", None]), 7200 * i + random.randrange(0, 9000, 600)) for n in range(150)]
+        rows = fresh + random.sample(fresh, 30) + random.sample(list(known.values()), 30 if known else 0)
+        rows += [(f"late{i}-{n}", f"u{n * 7}", "late", max(0, 7200 * (i - 1) - n)) for n in range(8)] if i != 1 else []
+        random.shuffle(rows)
+        for row in rows:
+            known[row[:2]] = row
+            if passed is None or row[3] > passed:
+                seen.setdefault(row[1], {})[row[3], row[0]] = row[2]
+        passed = max(r[3] for r in known.values()) - hour
+        frame = spark.createDataFrame([(*r[:3], start + dt.timedelta(seconds=r[3])) for r in rows], schema)
+        frame.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        flow = stream.read(spark, f"{tmp_path}/in/*", frame.schema)
+        run = ordered.in_order(flow, buckets=3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        assert max(o.numRowsTotal for p in run.recentProgress for o in p.stateOperators) <= 3 * 3  # what waits, what was told and a timer
+    for user, events in seen.items():
+        told = [(at, event, kind) for (at, event), kind in sorted(events.items()) if at <= passed]
+        want[user] = [(user, n + 1, event, kind, told[n - 1][2] if n else None) for n, (at, event, kind) in enumerate(told)]
+    got = sorted(((r.key, r.place, r.event_id, r.event_type, r.before) for r in spark.read.parquet(f"{tmp_path}/out").collect()), key=lambda r: r[:2])
+    assert got == sorted((r for rows in want.values() for r in rows), key=lambda r: r[:2]) and len(got) > 400
